@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitrine.llm import bpe, confusables, survivorship
+from vitrine.llm import bpe, canonical, confusables, packing, sentences, survivorship
 from vitrine.session import table
 
 
@@ -15,6 +15,9 @@ QUERIES = {
     "p1_forms": lambda s, d: confusables.entry_forms(*_t(s, d, "museums")),
     "p7_found": lambda s, d: survivorship.p7_found(*_t(s, d, "merge_groups", "museums")),
     "p7_rows": lambda s, d: survivorship.p7_rows(*_t(s, d, "merge_groups", "museums")),
+    "p6_found": lambda s, d: canonical.p6_found(*_t(s, d, "museums", "places", "gazetteer")),
+    "p10_found": lambda s, d: sentences.split_documents(*_t(s, d, "documents")),
+    "p9_containers": lambda s, d: packing.p9_containers(*_t(s, d, "documents")),
     "p8_ids": lambda s, d: bpe.encode(*_t(s, d, "documents")),
 }
 
