@@ -15,7 +15,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), 2
     )
-    return F.lit(2.0 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # not least(), which would turn a null into 1
+    return F.lit(2.0 * radius) * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 def usable(lat: Column, lon: Column) -> Column:
