@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitrine.llm import bpe, canonical, confusables, packing, sentences, survivorship, variants
+from vitrine.llm import bpe, canonical, confusables, matching, packing, sentences, survivorship, variants
 from vitrine.session import table
 
 
@@ -16,6 +16,8 @@ QUERIES = {
     "p7_found": lambda s, d: survivorship.p7_found(*_t(s, d, "merge_groups", "museums")),
     "p7_rows": lambda s, d: survivorship.p7_rows(*_t(s, d, "merge_groups", "museums")),
     "p4_found": lambda s, d: variants.p4_found(*_t(s, d, "museums", "places")),
+    "p5_found": lambda s, d: matching.p5_found(*_t(s, d, "museums", "source_records", "gazetteer")),
+    "p5_matches": lambda s, d: matching.p5_matches(*_t(s, d, "museums", "source_records", "gazetteer")),
     "p6_found": lambda s, d: canonical.p6_found(*_t(s, d, "museums", "places", "gazetteer")),
     "p10_found": lambda s, d: sentences.split_documents(*_t(s, d, "documents")),
     "p9_containers": lambda s, d: packing.p9_containers(*_t(s, d, "documents")),
