@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Letters that decomposition leaves alone and what a plain keyboard types for them.
-ONE_LETTER = {"ħ": "h", "ł": "l", "ø": "o", "đ": "d", "ð": "d", "ı": "i", "ŧ": "t", "ĸ": "k", "ŋ": "n", "ə": "e"}
+ONE_LETTER = {"ς": "σ", "ħ": "h", "ł": "l", "ø": "o", "đ": "d", "ð": "d", "ı": "i", "ŧ": "t", "ĸ": "k", "ŋ": "n", "ə": "e"}
 TWO_LETTERS = {"æ": "ae", "œ": "oe", "ß": "ss", "þ": "th"}
 
 
@@ -90,9 +90,8 @@ def site_host(c: Column) -> Column:
 
 
 def usable_url(c: Column) -> Column:
-    """Whether a text is an http or https URL with a host; false for null."""
-    host = F.try_parse_url(c, F.lit("HOST"))
-    return F.coalesce(F.lower(F.try_parse_url(c, F.lit("PROTOCOL"))).isin("http", "https") & (host != ""), F.lit(False))
+    """Whether a text is an http or https URL with a host and without white space; false for null."""
+    return F.coalesce(c.rlike(r"(?i)^https?://[^/?#\s]+") & ~c.rlike(r"[\s\p{Z}\p{Cc}]"), F.lit(False))
 
 
 def filled(c: Column) -> Column:
