@@ -178,3 +178,21 @@ def test_hyperplanes_find_nine_in_ten_of_brute_force(spark):
     want = {(rows[si[i]].rid, rows[mi[j]].rid) for i, j in zip(*np.nonzero(c >= 0.75))}
     got = {(r.sid, r.mid) for r in matching.candidate_pairs(rec, spark.sparkContext.broadcast(e), 4_000_000, 0.7).collect()}
     assert want and len(want & got) / len(want) >= 0.9 and not math.isnan(c.sum())
+
+
+@pytest.mark.parametrize("coarse, fine", [(2, 6), (2, 9), (4, 10), (4, 14)])
+def test_probes_keep_nine_in_ten_at_the_least_cosine_at_every_size(coarse, fine):
+    c, n, rnd = matching.LEAST_COSINE, 3000, np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rnd.normal(size=(n, matching.DIM)))
+    z = rnd.normal(size=x.shape)
+    y = c * x + math.sqrt(1 - c * c) * unit(z - (z * x).sum(1, keepdims=True) * x)
+    met = np.zeros(n, bool)
+    for planes in matching._planes():
+        here = np.ones(n, bool)
+        for part, share in ((planes[:coarse], matching.COARSE_SHARE), (planes[matching.COARSE : matching.COARSE + fine], matching.FINE_SHARE)):
+            bit = 1 << np.arange(len(part))
+            looks = matching._probes((x @ part.T > 0) @ bit, np.abs(x @ part.T), share, c)
+            here &= (looks == ((y @ part.T > 0) @ bit)[:, None]).any(1)
+        met |= here
+    assert met.mean() >= 0.9
