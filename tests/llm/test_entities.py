@@ -196,3 +196,13 @@ def test_probes_keep_nine_in_ten_at_the_least_cosine_at_every_size(coarse, fine)
             here &= (looks == ((y @ part.T > 0) @ bit)[:, None]).any(1)
         met |= here
     assert met.mean() >= 0.9
+
+
+def test_a_name_counts_though_its_heaviest_words_are_typings_and_towns():
+    common = frozenset("musiksammlung music museum of".split())
+    weigh = lambda w: {"kiheiroudaisen": 9.0}.get(w, 3.0 if w in common else 10.0)
+    row = dict.fromkeys(("host", "town", "nation", "lat", "lon", "street", "postcode", "wikidata_id"))
+    s = {**row, "names": ["MSIKSAMMLUNG KIHEIROUDAISEN", "Kiheiroudaisen Painuingen"], "town": "painuingen"}
+    m = {**row, "names": ["Kiheiroudaisen Museum of Music"]}
+    x = dict(zip(matching.FEATURES, matching.pair_features(s, m, 0.7, weigh, 8.0, common)))
+    assert x["keyed"] == 1.0 and x["similar"] >= variants.SIMILAR and x["bare"] == 0.0
