@@ -206,3 +206,14 @@ def test_a_name_counts_though_its_heaviest_words_are_typings_and_towns():
     m = {**row, "names": ["Kiheiroudaisen Museum of Music"]}
     x = dict(zip(matching.FEATURES, matching.pair_features(s, m, 0.7, weigh, 8.0, common)))
     assert x["keyed"] == 1.0 and x["similar"] >= variants.SIMILAR and x["bare"] == 0.0
+
+
+def test_common_words_are_those_of_all_records_not_of_the_sample(spark, monkeypatch):
+    m, s, _ = _catalogue(spark, 200)
+    seen = []
+    monkeypatch.setattr(matching, "FIT_RECORDS", 10)
+    monkeypatch.setattr(matching, "Embedder", lambda grams, counts, total, common: seen.append(common) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        matching.match_records(m, s, gazetteer(spark))
+    rows = m.select("name").union(s.select("name")).collect()
+    assert seen == [matching.common_words([{"names": [r.name]} for r in rows])] and "museum" in seen[0]
