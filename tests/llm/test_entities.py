@@ -217,3 +217,15 @@ def test_common_words_are_those_of_all_records_not_of_the_sample(spark, monkeypa
         matching.match_records(m, s, gazetteer(spark))
     rows = m.select("name").union(s.select("name")).collect()
     assert seen == [matching.common_words([{"names": [r.name]} for r in rows])] and "museum" in seen[0]
+
+
+def test_variants_without_a_key_word_meet_in_their_place(spark):
+    filler = [dict(id=100 + i, name=f"{a}{b}o Town Museum", locality="Ghent") for i, (a, b) in enumerate((x, y) for x in ("Bakiru", "Dolenu", "Gosami", "Kutofi", "Metiva", "Pifulo") for y in ("bezan", "dorik", "gulem", "kifas", "mopit"))]
+    m = museums(
+        spark, dict(id=1, name="Town Museum", locality="Ath", location=(50.0, 5.0)), dict(id=2, name="Museum, Town", locality="Ath"), dict(id=3, name="Town Musum", locality="Ath"), dict(id=4, name="Museum Town", locality="Bree"),
+        dict(id=5, name="Be Haz Oub", locality="Ath"), dict(id=6, name="Behazoub", locality="Ath"), *filler,
+    )
+    p = spark.createDataFrame([(1, "museum town", None, (50.02, 5.0)), (2, "museum town", None, (51.0, 5.0))], "place_id bigint, query string, display_name string, location struct<lat: double, lon: double>")
+    got = {tuple(r) for r in variants.p4_found(m, p).collect()}
+    assert {g[1:] for g in got if g[0] == "rows"} == {(1, 2), (1, 3), (2, 3), (5, 6)}
+    assert {g[1:] for g in got if g[0] == "query"} == {(1, 1)}
