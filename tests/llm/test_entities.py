@@ -229,3 +229,8 @@ def test_variants_without_a_key_word_meet_in_their_place(spark):
     got = {tuple(r) for r in variants.p4_found(m, p).collect()}
     assert {g[1:] for g in got if g[0] == "rows"} == {(1, 2), (1, 3), (2, 3), (5, 6)}
     assert {g[1:] for g in got if g[0] == "query"} == {(1, 1)}
+
+
+def test_swapped_neighbours_are_one_error(spark):
+    got = {tuple(r) for r in variants.close_words(spark.createDataFrame([(w,) for w in ("museum", "musuem", "umsuem", "salon", "saoln", "town", "twon")], "token string")).collect()}
+    assert {g for g in got if g[2] == 1} == {("museum", "musuem", 1), ("musuem", "umsuem", 1), ("salon", "saoln", 1)}
