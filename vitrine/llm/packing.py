@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm import bpe
+from vitrine.session import cut
 
 CAPACITY = 2048
 #: Items wanted in a block.
@@ -27,40 +28,49 @@ _EQUAL_ROOM = 8
 
 
 def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each item (sizes 1..capacity, in the order given). clusters: -1 for no duplicate."""
+    """Container number of each item (sizes 1..capacity, in the order given). clusters: -1 for no duplicate.
+
+    Copies that follow one another share one search: a container that took one of them, or was found to hold their
+    cluster, stands aside until the last of them is placed. So no container is looked at twice for a run of copies.
+    """
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     filled = 0  # bit r: some container has room r
     dup_of: list[int] = []
     src_of: list[int] = []
+    aside: list[tuple[int, int]] = []
+    run = (-1, -1)
     out = np.empty(len(sizes), np.int64)
     for k in range(len(sizes)):
         size, cluster, source = int(sizes[k]), int(clusters[k]), 1 << int(sources[k])
         mark = 1 << cluster if cluster >= 0 else 0
+        if (cluster, size) != run or not mark:
+            for c, r in aside:
+                by_room[r].append(c)
+                filled |= 1 << r
+            aside, run = [], (cluster, size)
         rest, base, chosen = filled >> size, size, -1
         while rest:
-            step = (rest & -rest).bit_length() - 1
-            room = base + step
+            room = base + (rest & -rest).bit_length() - 1
             shelf = by_room[room]
-            at = -1
-            for i in range(len(shelf) - 1, -1, -1):
-                if mark and dup_of[shelf[i]] & mark:
-                    continue
-                if at < 0:
+            while mark and shelf and dup_of[shelf[-1]] & mark:
+                aside.append((shelf.pop(), room))
+            at = len(shelf) - 1
+            i = at - 1
+            # of equal rooms the first without the item's source is preferred
+            while at >= 0 and src_of[shelf[at]] & source and i >= max(0, len(shelf) - _EQUAL_ROOM):
+                if not src_of[shelf[i]] & source and not (mark and dup_of[shelf[i]] & mark):
                     at = i
-                if not src_of[shelf[i]] & source:
-                    at = i
-                    break
-                if len(shelf) - i >= _EQUAL_ROOM and at >= 0:
-                    break
+                i -= 1
             if at >= 0:
                 chosen = shelf[at]
                 shelf[at] = shelf[-1]
                 shelf.pop()
-                if not shelf:
-                    filled &= ~(1 << room)
+            if not shelf:
+                filled &= ~(1 << room)
+            if chosen >= 0:
                 break
-            rest >>= step + 1
             base = room + 1
+            rest = filled >> base
         if chosen < 0:
             chosen, room = len(dup_of), capacity
             dup_of.append(0)
@@ -68,7 +78,9 @@ def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capac
         dup_of[chosen] |= mark
         src_of[chosen] |= source
         room -= size
-        if room:
+        if room and mark:
+            aside.append((chosen, room))
+        elif room:
             by_room[room].append(chosen)
             filled |= 1 << room
         out[k] = chosen
@@ -83,12 +95,12 @@ def _pack_block(t: pd.DataFrame, capacity: int) -> pd.DataFrame:
     row = np.repeat(np.arange(len(t)), pieces)
     piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     size = np.minimum(capacity, n[row] - piece * capacity)
-    order = np.argsort(-size, kind="stable")
-    live = order[size[order] > 0]
     seen = t["cluster"].value_counts()
-    shared = {c: i for i, c in enumerate(seen.index[seen > 1])}
+    shared = {c: i for i, c in enumerate(sorted(seen.index[seen > 1]))}
     clusters = t["cluster"].map(shared).fillna(-1).to_numpy(np.int64)[row]
     clusters[(pieces > 1)[row] & (piece < pieces[row] - 1)] = -1  # a full piece meets nothing
+    order = np.lexsort((clusters, -size))  # copies follow one another
+    live = order[size[order] > 0]
     sources = pd.factorize(t["source"], use_na_sentinel=False)[0][row]
     where = np.full(len(row), -1, np.int64)
     where[live] = best_fit(size[live], clusters[live], sources[live], capacity)
@@ -120,6 +132,11 @@ def document_items(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 def p9_containers(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every document in its containers. The items are sized once, then kept in the shared folder for both passes."""
-    from vitrine.session import cut
-
     return pack(cut(document_items(documents)), capacity)
+
+
+def p9_fill(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: containers, the tokens in them, the share of their room that is filled, and the fewest containers possible."""
+    packed = p9_containers(documents, capacity).filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    total, room = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)) * capacity
+    return packed.agg(F.count(F.lit(1)).alias("containers"), total.alias("tokens"), F.round(total / F.nullif(room, F.lit(0)), 5).alias("filled"), F.ceil(total / capacity).alias("fewest"))

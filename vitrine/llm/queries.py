@@ -21,6 +21,7 @@ QUERIES = {
     "p6_found": lambda s, d: canonical.p6_found(*_t(s, d, "museums", "places", "gazetteer")),
     "p10_found": lambda s, d: sentences.split_documents(*_t(s, d, "documents")),
     "p9_containers": lambda s, d: packing.p9_containers(*_t(s, d, "documents")),
+    "p9_fill": lambda s, d: packing.p9_fill(*_t(s, d, "documents")),
     "p8_ids": lambda s, d: bpe.encode(*_t(s, d, "documents")),
 }
 
