@@ -2,17 +2,17 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from vitrine.operators.ledger import Ledger, p2_found
+from vitrine.operators.ledger import Ledger, p2_found, p2_states
 
 T = lambda d, h=0: datetime(2026, 1, d, h)
 MUSEUM = "id bigint, updated_at timestamp, loaded_at timestamp, task string"  # task: a column of a clashing name
 SITE = "site string, last_change_at timestamp, loaded_at timestamp"
-LOG = "run_no bigint, task string, status string, read_until timestamp"
+LOG = "run_no bigint, task string, status string, read_until timestamp, finished_at timestamp"
 ITEM = "run_no bigint, record_key string, version_at timestamp"
 
 
 def found(spark, museums, sites, log, items):
-    df = p2_found(spark.createDataFrame(museums, MUSEUM), spark.createDataFrame(sites, SITE), spark.createDataFrame(log, LOG), spark.createDataFrame(items, ITEM))
+    df = p2_found(spark.createDataFrame(museums, MUSEUM), spark.createDataFrame(sites, SITE), spark.createDataFrame([(*x, x[3]) for x in log], LOG), spark.createDataFrame(items, ITEM))
     return {tuple(r) for r in df.collect()}
 
 
@@ -47,3 +47,58 @@ def test_leases_expire_and_fences_reject(spark, tmp_path):
     led.complete("t", two, again)
     assert led.state(T(3)).filter(F.col("state") != "done").count() == 0
     assert led.events().filter("kind = 'offer'").count() == 2
+
+
+ITEMS = "record_key string, version timestamp"
+
+
+def test_a_worker_that_read_before_a_report_takes_nothing(spark, tmp_path):
+    led = Ledger(spark, str(tmp_path / "ledger"))
+    led.offer("b", spark.createDataFrame([("x", T(1))], ITEMS), "t")
+    one, held = led.lease("t", "w1", T(2), timedelta(hours=1))
+    slow = Ledger(spark, led.root)
+    stale = slow._log()
+    seen = [stale]
+    fresh = slow._log
+    slow._log = lambda: seen.pop() if seen else fresh()  # its first look is from before the report
+    led.complete("t", one, held)
+    two, taken = slow.lease("t", "w2", T(3))
+    assert taken.count() == 0 and two > one
+    assert {r.state for r in led.state(T(4)).collect()} == {"done"}
+
+
+def test_a_crash_before_the_manifest_leaves_no_trace(spark, tmp_path):
+    led = Ledger(spark, str(tmp_path / "ledger"))
+    rows = spark.createDataFrame([("x", T(1)), ("y", T(1)), ("y", T(1))], ITEMS)
+    commit, led._commit = led._commit, lambda n, e: (_ for _ in ()).throw(RuntimeError("lost"))
+    try:
+        led.offer("b", rows, "t")
+    except RuntimeError:
+        pass
+    assert led.events().count() == 0
+    led._commit = commit
+    led.offer("b", rows, "t")
+    led.offer("b", rows, "t")
+    assert {(r.record_key, r.state) for r in led.state(T(2)).collect()} == {("x", "pending"), ("y", "pending")}
+
+
+def test_compaction_keeps_the_state(spark, tmp_path):
+    led = Ledger(spark, str(tmp_path / "ledger"))
+    led.compact()
+    led.offer("b", spark.createDataFrame([(k, T(1)) for k in "abc"], ITEMS), "t")
+    one, held = led.lease("t", "w1", T(2), timedelta(hours=1))
+    led.complete("t", one, held.filter("record_key = 'a'"))
+    before = {tuple(r) for r in led.state(T(2)).collect()}
+    led.compact()
+    led.compact()
+    assert {tuple(r) for r in led.state(T(2)).collect()} == before and led.events().count() == 7
+    two, again = led.lease("t", "w2", T(2, 2))
+    assert two == one + 1 and {r.record_key for r in again.collect()} == {"b", "c"}
+    led.complete("t", one, held)  # stale by now
+    assert {r.record_key for r in led.state(T(2, 2)).filter("state = 'done'").collect()} == {"a"}
+
+
+def test_states_count_items(spark):
+    m = spark.createDataFrame([(1, T(1), T(1), None), (2, T(1), T(9), None)], MUSEUM)
+    df = p2_states(m, spark.createDataFrame([], SITE), spark.createDataFrame([(1, "reindex", "succeeded", T(4), T(5))], LOG), spark.createDataFrame([], ITEM))
+    assert {tuple(r) for r in df.collect()} == {("reindex", "done", 1), ("reindex", "pending", 1)}

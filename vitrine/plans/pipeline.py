@@ -7,6 +7,7 @@ from vitrine.session import table
 
 QUERIES = {
     "p2_found": lambda s, d: ledger.p2_found(*(table(s, d, t) for t in ("museums", "site_scrapes", "run_log", "run_items"))),
+    "p2_states": lambda s, d: ledger.p2_states(*(table(s, d, t) for t in ("museums", "site_scrapes", "run_log", "run_items"))),
     "p3_found": lambda s, d: spatial.p3_found(*(table(s, d, t) for t in ("museums", "exhibitions", "areas"))),
 }
 
@@ -24,6 +25,17 @@ done AS (
   GROUP BY 1, 2)
 SELECT n.task, n.record_key FROM newest n LEFT JOIN done d ON d.task = n.task AND d.record_key = n.record_key
 WHERE newest IS NOT NULL AND (done IS NULL OR newest > done)
+""",
+    "p2_states": """
+WITH marks AS (SELECT task, max(read_until) AS mark FROM run_log WHERE status = 'succeeded' GROUP BY task),
+v AS (
+  SELECT 'reindex' AS task, CAST(id AS VARCHAR) AS record_key, updated_at AS version, loaded_at FROM museums
+  UNION ALL SELECT 'listing', site, last_change_at, loaded_at FROM site_scrapes),
+items AS (
+  SELECT v.task, record_key, version, coalesce(loaded_at <= mark, false) AS done FROM v LEFT JOIN marks ON v.task = marks.task WHERE record_key IS NOT NULL AND version IS NOT NULL
+  UNION ALL SELECT l.task, i.record_key, i.version_at, true FROM run_items i JOIN run_log l ON l.run_no = i.run_no WHERE l.task IS NOT NULL AND i.record_key IS NOT NULL AND i.version_at IS NOT NULL),
+each AS (SELECT task, record_key, version, bool_or(done) AS done FROM items GROUP BY ALL)
+SELECT task, CASE WHEN done THEN 'done' ELSE 'pending' END AS state, count(*) AS items FROM each GROUP BY ALL
 """,
     "p3_found": """
 WITH m AS (
