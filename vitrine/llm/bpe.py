@@ -191,6 +191,13 @@ def _encoder(data: bytes, pattern: str) -> CorpusEncoder:
     return CorpusEncoder(data, pattern)
 
 
+def path_of(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers as P
+
+    return P.path(name)
+
+
 def vocabulary(path: str | None = None) -> tuple[bytes, str]:
     """Bytes of a rank file and the pattern that splits texts into pieces; by default byte_bpe_50k."""
     import public_tokenizers as P

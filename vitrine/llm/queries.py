@@ -19,7 +19,7 @@ QUERIES = {
     "p5_found": lambda s, d: matching.p5_found(*_t(s, d, "museums", "source_records", "gazetteer")),
     "p5_matches": lambda s, d: matching.p5_matches(*_t(s, d, "museums", "source_records", "gazetteer")),
     "p6_found": lambda s, d: canonical.p6_found(*_t(s, d, "museums", "places", "gazetteer")),
-    "p10_found": lambda s, d: sentences.split_documents(*_t(s, d, "documents")),
+    "p10_found": lambda s, d: sentences.split_documents(*_t(s, d, "documents"), vocabulary=bpe.path_of("byte_bpe_multi_50k.tiktoken")),
     "p9_containers": lambda s, d: packing.p9_containers(*_t(s, d, "documents")),
     "p9_fill": lambda s, d: packing.p9_fill(*_t(s, d, "documents")),
     "p8_ids": lambda s, d: bpe.encode(*_t(s, d, "documents")),

@@ -1,20 +1,26 @@
 """Sentence boundaries across languages and scripts.
 
-A text is cut into blocks (blank lines) and list items first. Inside a block every possible terminator is a
-node of a lattice whose edges are the spans between terminators; quotation and bracket spans close edges, and
-the edge that is kept is decided at each node from the token before it, the closing marks and what follows:
+A text is cut into blocks (blank lines) and list items first. Inside a block every terminator, and every gap
+between letters of a script without spaces, is a node of a lattice whose edges are the spans between nodes;
+quotation and bracket spans close edges, and whether an edge ends at a node is decided from the token before it,
+the closing marks and what follows:
 
 - spaced scripts: abbreviations, initials, ordinals, decimals and ellipses, and the case of the next word;
-- scripts without spaces: full stops end a sentence; gaps without a stop (Thai spaces, the end of a quotation
-  in Chinese or Japanese) are classified by the dictionary words of a word lattice on both sides: final
-  particles, opening words, continuing words and verbs of saying.
+- scripts without spaces (Thai, Lao, Khmer, Burmese, Chinese, Japanese): full stops end a sentence. The stretches
+  beside a gap without a stop, and what follows a quotation, are segmented by a lattice of dictionary words, and the
+  words at the gap classify it: final particles before it, opening words after it, words that tie.
 
-The text's own characters decide, never its language label.
+The dictionary is the fixed words below and the words that a public vocabulary file holds for these scripts
+(``dictionary``). The text's own characters decide, never its language label. Each stretch, token and clause is
+looked at once, so the work grows with the text whatever it holds.
 """
 
 from __future__ import annotations
 
+import base64
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import regex
@@ -42,42 +48,65 @@ ORDINAL_NEXT = frozenset("januar februar märz april mai juni juli august septem
 ORDINAL_PREV = frozenset("am im ins dem den der die das vom zum zur beim des bis seit ab".split())
 # Words of saying that tie a quotation to what follows it, where case can't tell.
 SAYING = ("说", "说道", "問", "问", "问道", "写道", "回答", "喊", "表示", "道", "と", "って", "قال", "قالت", "سأل", "कहा", "पूछा", "बोले", "बोला", "बोली", "लिखा")
-# Thai words that open a sentence, tie to what stands before, close a sentence, or only help the word lattice.
-THAI_OPENING = (
-    "เด็ก ค่าเข้าชม ค่า พิพิธภัณฑ์ ห้อง เรือ เปิด ปิด ใคร อาคาร นี่ นี้คือ เขา เธอ เรา ฉัน ผม พวกเขา มัน ท่าน คุณ ทุกคน ผู้ ผู้ชม ผู้ก่อตั้ง ภัณฑารักษ์ หลานสาว ชาวเมือง คอลเลกชัน นิทรรศการ หอศิลป์ "
-    "ทำไม เมื่อ อะไร ที่ไหน อย่างไร กรุณา โปรด สามารถ มี เป็น ตั๋ว บัตร เวลา วันนี้ ไม่มี ไม่ ช่าง สมาคม ระฆัง ภาพ แผนที่ สมุด จดหมาย ประตู หลังคา ป้าย"
+# Words that open a sentence in scripts without spaces (pronouns, question words, conjunctions, modals).
+OPENING = (
+    "เขา เธอ เรา ฉัน ผม พวกเขา มัน ท่าน คุณ ทุกคน ใคร ทำไม เมื่อ อะไร ที่ไหน อย่างไร กรุณา โปรด นี่ นั่น วันนี้ พรุ่งนี้ ไม่มี ไม่ สามารถ มี เป็น ดังนั้น อย่างไรก็ตาม นอกจากนี้ หลังจาก ก่อน ถ้า หาก "
+    "ຂ້ອຍ ເຂົາ ລາວ ພວກເຮົາ ນີ້ ຖ້າ ខ្ញុំ គាត់ នាង យើង នេះ ប្រសិនបើ ကျွန်တော် သူ ဤ ထို "
+    "我 我们 我們 你 他 她 它 他们 他們 这 這 那 这个 這個 因此 所以 但是 然而 不过 不過 如果 今天 "
+    "しかし そして また この その あの これ それ ここ 私 彼 彼女 なお ただし さらに もし だから"
 ).split()
-THAI_TIED = "พ.ศ. ค.ศ. โดย และ หรือ ที่ ซึ่ง อัน ของ ใน จาก ถึง กับ เพื่อ แต่ แก่ ให้ ด้วย ตาม ต่อ สำหรับ ว่า จน จนถึง ระหว่าง เมตร บาท ปี คน ชิ้น แผ่น องศา กิโลเมตร เล่ม หน้า นาฬิกา น. วัน เดือน เปอร์เซ็นต์ ครั้ง ชั้น ประมาณ เท่านั้น".split()
-THAI_FINAL = "ครับ ค่ะ คะ นะ จ้ะ สิ ล่ะ แล้ว เลย ไหม หรือไม่ หรือเปล่า".split()
-THAI_OTHER = "อายุ ต่ำกว่า เข้า ฟรี ผู้ใหญ่ สุดท้าย ยัง ทุก ยกเว้น จันทร์ ลำ นี้ ยาว สร้าง ขึ้น เก็บ รักษา วัตถุ แก้ว แกะสลัก บาน ได้ ไป มา อยู่ คือ การ ความ".split()
+# Words that tie what stands on either side of a gap.
+TIED = (
+    "พ.ศ. ค.ศ. โดย และ หรือ ที่ ซึ่ง อัน ของ ใน จาก ถึง กับ เพื่อ แต่ แก่ ให้ ด้วย ตาม ต่อ สำหรับ ว่า จน จนถึง ระหว่าง เมตร บาท ปี คน ชิ้น แผ่น องศา กิโลเมตร เล่ม หน้า นาฬิกา น. วัน เดือน เปอร์เซ็นต์ ครั้ง ชั้น ประมาณ เท่านั้น "
+    "ແລະ ຫຼື ທີ່ ຂອງ ໃນ និង ឬ ដែល របស់ ក្នុង နှင့် သို့မဟုတ် "
+    "的 和 与 與 或 在 是 と って が は を に の も や へ で けど から ので"
+).split()
+# Particles and endings that close a sentence.
+FINAL = (
+    "ครับ ค่ะ คะ นะ จ้ะ สิ ล่ะ แล้ว เลย ไหม หรือไม่ หรือเปล่า ແລ້ວ ບໍ ເດີ ហើយ ទេ ណា ပါတယ် တယ် သည် ပြီ ပါသည် "
+    "了 吗 嗎 呢 吧 啊 です ます でした ました ません だった である ください だろう でしょう ですか ますか ね よ"
+).split()
+# Other frequent words, so that the lattice finds the ends of its words.
+OTHER = "อายุ เข้า ยัง ทุก นี้ ขึ้น ได้ ไป มา อยู่ คือ การ ความ ນີ້ ໄດ້ បាន នៅ នេះ များ သော ある いる する した して ない こと もの 有 不 也 都 就 很".split()
 
 _ENDS = ".!?…。！？｡؟۔।॥‼⁇⁈⁉;;"
 _TERMINATOR = regex.compile(r"[.!?…。！？｡؟۔।॥‼⁇⁈⁉]+|(?<=\p{Greek}[»\")]?)[;;]")
 _BLANK = regex.compile(r"(?:\r\n|\r|\n| | |\x0b|\x0c)[^\S\r\n]*(?:\r\n|\r|\n| )\s*| \s*")
 _MARKER = regex.compile(r"[^\S\r\n]*(?:([-–•*·▪◦‣●○])|(\d{1,3})[.)．]|([a-zA-Z])\))[^\S\r\n]+(?=\S)")
 _LINE = regex.compile(r"\r\n|\r|\n| ")
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{Nd}][\p{L}\p{M}\p{Nd}.’'\-]*$|№$")
+_TOKEN = regex.compile(r"[\p{L}\p{M}\p{Nd}][\p{L}\p{M}\p{Nd}.’'\-]*|№")
 _OPEN = {"“": "”", "«": "»", "「": "」", "『": "』", "‹": "›", "„": "“”", "(": ")", "（": "）", "[": "]", "［": "］", "【": "】", "《": "》"}
 _BRACKETS = "(（[［"
 _SPANS = regex.compile(r"[“”«»「」『』‹›„()（）\[\]［］【】《》]")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _CASELESS = regex.compile(r"[\p{Arabic}\p{Devanagari}\p{Hebrew}\p{Bengali}\p{Tamil}\p{Telugu}\p{Gujarati}\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
-_THAI = regex.compile(r"\p{Thai}")
-_THAI_GAP = regex.compile(r"(?<=\S)\s+(?=\S)")
-_SPACE_IN = regex.compile(r"\s")
+_SPACED = regex.compile(r"[\s\S]*[\p{Arabic}\p{Devanagari}]")
+_SPACELESS = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Han}\p{Hiragana}\p{Katakana}ー"
+_LOOSE = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+_GAP = regex.compile(r"(?<=\S)\s+(?=\S)")
+_ANY = regex.compile(rf"[{_SPACELESS}]")
+_STRETCH = regex.compile(r"\S+")
+_RUN = regex.compile(rf"[{_SPACELESS}\p{{M}}]+")
+_PART = regex.compile(rf"[{_SPACELESS}\p{{M}}.]+")
+
 
+class Lattice:
+    """Segmentation of stretches without spaces by the best path through dictionary words.
+
+    Best is the path with the fewest characters outside words, then with the fewest words.
+    """
 
-def _lattice(words: frozenset[str], longest: int):
-    """Best path through the dictionary words of a stretch: fewest characters outside words, then fewest words."""
+    def __init__(self, words: frozenset[str]):
+        self.words, self.longest = words, max(map(len, words))
 
-    def cut(s: str) -> list[str]:
+    def cut(self, s: str) -> list[str]:
         n = len(s)
         cost = [(0, 0)] + [(n + 1, 0)] * n
         back = [0] * (n + 1)
         for i in range(n):
             c, w = cost[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                known = s[i:j] in words
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                known = s[i:j] in self.words
                 if not known and j > i + 1:
                     continue
                 new = (c + (0 if known else 1), w + 1)
@@ -89,55 +118,105 @@ def _lattice(words: frozenset[str], longest: int):
             j = back[j]
         return out[::-1]
 
-    return cut
+
+def dictionary(vocabulary: str | None = None) -> frozenset[str]:
+    """The fixed words and, if a vocabulary file is given, its words of two letters or more in scripts without spaces.
+
+    The file has a base64 token and its rank on each line.
+    """
+    words = {*OPENING, *TIED, *FINAL, *OTHER, *SAYING}
+    for line in Path(vocabulary).read_bytes().splitlines() if vocabulary else ():
+        try:
+            word = base64.b64decode(line.split()[0]).decode().strip()
+        except (ValueError, IndexError):
+            continue
+        if len(word) > 1 and _RUN.fullmatch(word) and not regex.match(r"\p{M}", word):
+            words.add(word)
+    return frozenset(words)
 
 
-_THAI_CUT = _lattice(frozenset(THAI_OPENING + THAI_TIED + THAI_FINAL + THAI_OTHER), max(map(len, THAI_OPENING + THAI_TIED + THAI_FINAL + THAI_OTHER)))
-_OPENING, _TIED, _FINAL = frozenset(THAI_OPENING), frozenset(THAI_TIED), frozenset(THAI_FINAL)
+_OPENING, _TIED, _FINAL, _SAYING = frozenset(OPENING), frozenset(TIED), frozenset(FINAL), frozenset(SAYING)
+_FIXED = Lattice(dictionary())
 
 
 def _spans(s: str) -> list[tuple[int, int, str]]:
-    """Matched quotations and brackets as (opening position, closing position, opening mark)."""
+    """Matched quotations and brackets as (opening position, closing position, opening mark), nested, by position."""
     out, stack = [], []
+    waiting: dict[str, int] = {}  # how many open marks wait for a closing mark
     for m in _SPANS.finditer(s):
         ch, i = m.group(), m.start()
-        if ch == "“" and any(o == "„" for o, _ in stack):
-            pass
-        elif ch in _OPEN:
+        if ch in _OPEN and not (ch == "“" and waiting.get("“")):
             stack.append((ch, i))
+            for c in _OPEN[ch]:
+                waiting[c] = waiting.get(c, 0) + 1
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if ch in _OPEN[stack[k][0]]:
-                out.append((stack[k][1], i, stack[k][0]))
-                del stack[k:]
+        while waiting.get(ch):
+            o, at = stack.pop()
+            for c in _OPEN[o]:
+                waiting[c] -= 1
+            if ch in _OPEN[o]:
+                out.append((at, i, o))
                 break
     return sorted(out)
 
 
-def _thai_break(before: str, after: str) -> bool:
-    """Whether a Thai gap parts two sentences."""
-    left = before.split()[-1] if before.split() else ""
-    right = after.split()[0] if after.split() else ""
-    lw = _THAI_CUT(left[-40:])[-1] if left else ""
-    rws = _THAI_CUT(right[:40]) if right else [""]
-    rw = rws[0]
-    if left.endswith(".") or (left and left[-1] in ",:;–—-(“\"«"):
+class _Stretches:
+    """Lattice words at the gaps of a text, each stretch between blanks segmented once."""
+
+    def __init__(self, s: str, lattice: Lattice):
+        self.s, self.lattice = s, lattice
+        self.starts = [m.start() for m in _STRETCH.finditer(s)]
+        self.known: dict[int, list[str]] = {}
+
+    def at(self, i: int) -> tuple[str, list[str]]:
+        """The stretch that holds position i, and its words; what isn't of a spaceless script is one word."""
+        a = self.starts[bisect_right(self.starts, i) - 1]
+        if a not in self.known:
+            text = _STRETCH.match(self.s, a).group()
+            words, at = [], 0
+            for m in _PART.finditer(text):
+                if m.start() > at:
+                    words.append(text[at : m.start()])
+                words += self.lattice.cut(m.group())
+                at = m.end()
+            if at < len(text):
+                words.append(text[at:])
+            self.known = {a: (text, words)}  # the next gap asks for this stretch or the one behind it
+        return self.known[a]
+
+
+def _gap_breaks(stretches: _Stretches, a: int, b: int) -> bool:
+    """Whether the gap s[a:b] in a script without spaces parts two sentences."""
+    left, lws = stretches.at(a - 1)
+    right, rws = stretches.at(b)
+    lw, rw = lws[-1], rws[0]
+    if left.endswith(".") or left[-1] in ",:;–—-(“\"«、，：；（「『":
         return False
-    if rw in _OPENING:
-        return not (lw in ("ของ", "ใน", "ที่", "โดย", "และ", "หรือ", "กับ"))
-    if rw in _TIED or not _THAI.match(right):
-        return False
-    if lw in _FINAL:
-        return True
-    return not left[-1:].isdigit()
+    if _LOOSE.match(left[-1]) or _LOOSE.match(right):
+        if rw in _OPENING:
+            return lw not in ("ของ", "ใน", "ที่", "โดย", "และ", "หรือ", "กับ")
+        if rw in _TIED or not _LOOSE.match(right):
+            return False
+        return lw in _FINAL or not left[-1:].isdigit()
+    # Chinese and Japanese: a blank parts sentences only behind a word that closes one
+    closed = lw in _FINAL and len(left) > len(lw) and rw not in _TIED
+    return closed and ("\n" not in stretches.s[a:b] and "\r" not in stretches.s[a:b] or rw in _OPENING)
+
 
+class _Tokens:
+    """Token before a position: letters, digits and the points between them, each run found once."""
 
-def _token_before(s: str, i: int) -> str:
-    m = _TOKEN.search(s, max(0, i - 40), i)
-    return m.group() if m else ""
+    def __init__(self, s: str):
+        self.s = s
+        spans = [m.span() for m in _TOKEN.finditer(s)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
 
+    def before(self, i: int) -> str:
+        k = bisect_left(self.starts, i) - 1
+        return self.s[self.starts[k] : i] if k >= 0 and self.ends[k] >= i else ""
 
-def _ends(s: str, begin: int, a: int, b: int, stop: int, quoted: tuple[int, int, str] | None, raw_next: int) -> bool:
+
+def _ends(s: str, tokens: _Tokens, lattice: Lattice, begin: int, a: int, b: int, stop: int, quoted: tuple[int, int, str] | None, raw_next: int) -> bool:
     """Whether the terminator s[a:b], with closing marks up to ``stop``, ends the sentence that began at ``begin``."""
     run = s[a:b]
     nxt = s[raw_next] if raw_next < len(s) else ""
@@ -154,17 +233,19 @@ def _ends(s: str, begin: int, a: int, b: int, stop: int, quoted: tuple[int, int,
     if quoted:
         if nxt in ",;:،、，；—–-" or nxt.islower():
             return False
-        lead = s[begin : quoted[0]].rstrip()
+        lead = s[max(begin, quoted[0] - 1) : quoted[0]].rstrip() or s[begin : quoted[0]].rstrip()[-1:]
         caseless = _CASELESS.match(nxt)
         if caseless:
-            tail = s[raw_next : raw_next + 60]
-            if nxt in "とっ" and tail.startswith(("と", "って")):
+            if nxt in "とっ" and s.startswith(("と", "って"), raw_next):
                 return False
             if lead and lead[-1] in ":：,，、":
                 return True
-            m = _TERMINATOR.search(tail)
-            clause = tail[: m.start()] if m else tail
-            return not any(w in clause for w in SAYING)
+            m = _TERMINATOR.search(s, raw_next)
+            clause = s[raw_next : m.start() if m else len(s)]
+            if _SPACED.match(clause):
+                return not any(w in clause for w in SAYING)
+            # a verb of saying in the clause behind it ties the quotation
+            return not any(w in _SAYING or any(w.endswith(v) for v in _SAYING if len(v) > 1) for run in _RUN.findall(clause) for w in lattice.cut(run))
         return True
     if cjk_end:
         return True
@@ -173,14 +254,14 @@ def _ends(s: str, begin: int, a: int, b: int, stop: int, quoted: tuple[int, int,
             return False
         return gap or nxt.isupper() or bool(_CASELESS.match(nxt)) or nxt in "«“„¿¡("
     # a single point
-    token = _token_before(s, a)
+    token = tokens.before(a)
     if not gap:
         # a missing blank: a whole lower-case word before, a capitalised word or an opening mark after
         word = token.rsplit(".", 1)[-1]
         after = s[raw_next + 1] if raw_next + 1 < len(s) else ""
         if nxt in "«“„¿¡":
             return len(word) > 1 or word.isdigit()
-        if "." in token[:-1] and not any(c.isspace() for c in token) and token.lower().startswith(("www.", "http")):
+        if token[:4].lower() in ("www.", "http") and "." in token[:-1]:
             return False
         return (len(word) > 2 and word[-1].islower() and nxt.isupper() and (after.islower() or after in " .’'")) or (word.isdigit() and len(word) >= 3 and nxt.isupper() and after.islower()) or (
             stop > b and nxt.isupper()) or (nxt.isupper() and s[a - 1 : a] in ")%€$£»”“")
@@ -226,30 +307,29 @@ def _ends(s: str, begin: int, a: int, b: int, stop: int, quoted: tuple[int, int,
     return True
 
 
-def _segment(s: str, at: int, first: int, out: list[tuple[int, int]]) -> None:
+def _segment(s: str, at: int, first: int, out: list[tuple[int, int]], lattice: Lattice = _FIXED) -> None:
     """Units of one stretch ``s`` that stands at offset ``at``; scanning starts at ``first`` (after a marker)."""
     spans = _spans(s)
-    thai = bool(_THAI.search(s))
+    tokens = _Tokens(s)
     cuts: list[int] = []
     begin = 0
     while begin < len(s) and s[begin].isspace():
         begin += 1
+    # spans are nested, so only those that no other holds decide
+    widest: list[tuple[int, int, str]] = []
+    for x in spans:
+        if not widest or x[0] > widest[-1][1]:
+            widest.append(x)
+    opened, opening = [x[0] for x in widest], {x[0]: x for x in spans}
 
-    def holder(i: int) -> tuple[int, int, str] | None:
-        best = None
-        for x in spans:
-            if x[0] >= i:
-                break
-            if x[1] > i and (best is None or x[0] > best[0]):
-                best = x
-        return best
-
-    def outer(i: int) -> list[tuple[int, int, str]]:
-        return [x for x in spans if x[0] < i < x[1]]
+    def outer(i: int) -> tuple[int, int, str] | None:
+        k = bisect_left(opened, i) - 1
+        return widest[k] if k >= 0 and i < widest[k][1] else None
 
     nodes = [(m.start(), m.end(), 0) for m in _TERMINATOR.finditer(s, first)]
-    if thai:
-        nodes += [(m.start(), m.end(), 1) for m in _THAI_GAP.finditer(s, first)]
+    if _ANY.search(s):
+        stretches = _Stretches(s, lattice)
+        nodes += [(m.start(), m.end(), 1) for m in _GAP.finditer(s, first) if _ANY.match(s[m.start() - 1]) or _ANY.match(s[m.end()])]
         nodes.sort()
     closing = {x[1] for x in spans}
 
@@ -272,12 +352,9 @@ def _segment(s: str, at: int, first: int, out: list[tuple[int, int]]) -> None:
         if a < limit:
             continue
         if kind:
-            around = s[max(0, a - 1)] + s[b]
-            if not _THAI.search(around) or outer(a):
-                continue
-            if s[a - 1] in _ENDS:
+            if not a or s[a - 1] in _ENDS or outer(a):
                 continue
-            if _thai_break(s[begin:a], s[b : b + 60]):
+            if _gap_breaks(stretches, a, b):
                 cuts.append(a)
                 begin = limit = b
             continue
@@ -285,16 +362,14 @@ def _segment(s: str, at: int, first: int, out: list[tuple[int, int]]) -> None:
         stop, quoted = b, None
         reach = closers(b)
         if around:
-            inner_end = max(x[1] for x in around)
-            if reach <= inner_end:
+            if reach <= around[1]:
                 continue  # inside a quotation or bracket that goes on
             stop = reach
-            widest = min(around)
-            if widest[2] in _BRACKETS:
-                if s[begin : widest[0]].strip():
+            if around[2] in _BRACKETS:
+                if around[0] > begin and not s[begin : around[0]].isspace():
                     continue  # a bracket inside a sentence
             else:
-                quoted = widest
+                quoted = around
         else:
             stop = reach
         raw = stop
@@ -302,14 +377,14 @@ def _segment(s: str, at: int, first: int, out: list[tuple[int, int]]) -> None:
             raw += 1
         if raw < len(s) and s[raw] in _BRACKETS and not quoted:
             # a bracketed sentence begins here only if its own stop stands before its closing mark
-            x = next((x for x in spans if x[0] == raw), None)
+            x = opening.get(raw)
             inner = s[raw + 1 : x[1]].rstrip() if x else ""
             if inner and inner[-1] in _ENDS and (inner[0].isupper() or _CASELESS.match(inner[0]) or inner[0] in "¿¡«“„"):
-                if _ends(s, begin, a, b, stop, quoted, raw + 1):
+                if _ends(s, tokens, lattice, begin, a, b, stop, quoted, raw + 1):
                     cuts.append(stop)
                     begin, limit = raw, stop
                 continue
-            if s[a:b] in (".",) and _token_before(s, a).lower().replace(".", "") in (NEVER_LAST | MAYBE_LAST):
+            if s[a:b] in (".",) and tokens.before(a).lower().replace(".", "") in (NEVER_LAST | MAYBE_LAST):
                 continue
             if inner and (inner[0].islower() or inner[0].isdigit()):
                 continue
@@ -323,9 +398,9 @@ def _segment(s: str, at: int, first: int, out: list[tuple[int, int]]) -> None:
             probe = nraw
         if probe != nraw and probe < len(s):
             # an opening mark: what it opens decides by its case, the gap stays as it is
-            ok = _ends(s, begin, a, b, stop if raw > stop else min(stop, probe - 1), quoted, probe)
+            ok = _ends(s, tokens, lattice, begin, a, b, stop if raw > stop else min(stop, probe - 1), quoted, probe)
         else:
-            ok = _ends(s, begin, a, b, stop, quoted, raw)
+            ok = _ends(s, tokens, lattice, begin, a, b, stop, quoted, raw)
         if ok:
             cuts.append(stop)
             begin = limit = raw
@@ -341,7 +416,7 @@ def _segment(s: str, at: int, first: int, out: list[tuple[int, int]]) -> None:
         prev = c
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+def sentences(text: str | None, lattice: Lattice = _FIXED) -> list[tuple[int, int]]:
     """Sentence units as code-point offsets (end exclusive); null, empty and blank texts have none."""
     out: list[tuple[int, int]] = []
     if not text or text.isspace():
@@ -355,24 +430,26 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                 kind = m.lastindex
                 starts = [0] + [x.end() for x in _LINE.finditer(block) if (y := _MARKER.match(block, x.end())) and y.lastindex == kind]
                 for i, j in zip(starts, [*starts[1:], len(block)]):
-                    _segment(block[i:j], begin + i, _MARKER.match(block, i).end() - i, out)
+                    _segment(block[i:j], begin + i, _MARKER.match(block, i).end() - i, out, lattice)
             else:
-                _segment(block, begin, 0, out)
+                _segment(block, begin, 0, out, lattice)
         begin = b
     return out
 
 
-def split_documents(documents: DataFrame) -> DataFrame:
+def split_documents(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, sent_start, sent_end) of every sentence of every document, in one pass without a shuffle.
 
-    Rows with a null doc_id are left out; offsets are code points of the text as it is.
+    Rows with a null doc_id are left out; offsets are code points of the text as it is. ``vocabulary`` names the
+    public vocabulary file whose words join the dictionary; it is read on the driver.
     """
+    lattice = Lattice(dictionary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, starts, ends, size = [], [], [], 0
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for x, y in sentences(t):
+                for x, y in sentences(t, lattice):
                     ids.append(i)
                     starts.append(x)
                     ends.append(y)
