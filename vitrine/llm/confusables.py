@@ -3,6 +3,11 @@
 ``skeleton`` decomposes a text, replaces every character by the prototype of its look-alikes and decomposes
 again. Texts that look alike have equal skeletons. Case, visible accents and visible punctuation stay
 different; width, fonts, ligatures, invisible characters and kinds of spaces don't.
+
+The prototypes of letters and digits are those of the public confusables data, which the session's own Unicode
+library holds (``prototypes``): whatever it maps, to one character or several ("m" and "rn"). Without it, as in
+functions that run where there is no session, LOOKALIKES stands in. Marks follow MARKS: the public data also equate
+kinds of dashes and quotes that a reader tells apart.
 """
 
 from __future__ import annotations
@@ -11,9 +16,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.session import cut
+
 # Look-alike letters, each before the Latin letter that stands for it.
 LOOKALIKES = (
     "АA ВB СC ЕE НH Іl ЈJ КK МM ОO РP ЅS ТT ХX ҮY ԌG ԚQ ԜW ѴV Ӏl "  # Cyrillic capitals
@@ -71,7 +78,16 @@ _FIRST = _Unfolded()
 _THEN = {ord(p[0]): p[1] for p in LOOKALIKES.split()} | {ord(x): m[0] for m in MARKS for x in m[1:]}
 
 
-def skeleton(text: str | None) -> str | None:
+def prototypes(spark: SparkSession) -> dict[int, str]:
+    """Prototypes of all letters and digits that don't decompose, by the public confusables data of the session's library."""
+    ranges = (range(0x21, 0xD800), range(0xF900, 0x10000), range(0x10000, 0x1FC00))
+    chars = [ch for r in ranges for ch in map(chr, r) if unicodedata.category(ch)[0] in "LN" and _unfold(ch) == ch]
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    alike = checker.getSkeleton(0, "\n".join(chars)).split("\n")
+    return {ord(ch): to for ch, to in zip(chars, alike, strict=True) if to != ch} | {c: to for c, to in _THEN.items() if unicodedata.category(chr(c))[0] not in "LN"}
+
+
+def skeleton(text: str | None, table: dict[int, str] = _THEN) -> str | None:
     """The consistent form of a text; null stays null, a text of invisible characters alone becomes empty.
 
     Outer blanks can't be seen and are dropped; inner ones count, each as a plain blank.
@@ -80,22 +96,23 @@ def skeleton(text: str | None) -> str | None:
         return None
     if not text.isascii():
         text = unicodedata.normalize("NFD", text.translate(_FIRST))
-        return unicodedata.normalize("NFD", text.translate(_THEN)).strip()
-    return text.translate(_THEN).strip()
-
-
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = pa.array([skeleton(t) for t in b.column("entry").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("entry"), out], ["id", "entry", "form"])
+        return unicodedata.normalize("NFD", text.translate(table)).strip()
+    return text.translate(table).strip()
 
 
 def entry_forms(museums: DataFrame) -> DataFrame:
     """(id, entry, form) of every name and alias, each string once a row; null and blank entries are left out."""
+    table = museums.sparkSession.sparkContext.broadcast(prototypes(museums.sparkSession))  # as long as the public data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = pa.array([skeleton(t, table.value) for t in b.column("entry").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("entry"), out], ["id", "entry", "form"])
+
     each = museums.filter("id IS NOT NULL").select(
         "id", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("entry")
     )
-    return each.filter("entry IS NOT NULL").mapInArrow(_forms, "id bigint, entry string, form string").filter("form <> ''")
+    return each.filter("entry IS NOT NULL").mapInArrow(run, "id bigint, entry string, form string").filter("form <> ''")
 
 
 def lookalike_pairs(entries: DataFrame, salts: int = 8) -> DataFrame:
@@ -119,4 +136,4 @@ def lookalike_pairs(entries: DataFrame, salts: int = 8) -> DataFrame:
 
 def p1_found(museums: DataFrame) -> DataFrame:
     """Rows whose names or aliases look the same and are written with different characters."""
-    return lookalike_pairs(entry_forms(museums))
+    return lookalike_pairs(cut(entry_forms(museums)))
