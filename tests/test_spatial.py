@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from vitrine.functions.geo import VPTree, np_haversine_m
+from vitrine.operators import spatial
 from vitrine.operators.spatial import near_pairs, p3_found, rows_in_regions
 
 M = "id bigint, location struct<lat: double, lon: double>, location_approximate boolean, lat string"  # lat: a clashing column
@@ -41,3 +42,15 @@ def test_regions_across_the_date_line_and_empty_tables(spark):
     assert {tuple(r) for r in rows_in_regions(e, "exhibition_id", regions).collect()} == {(1, 7), (2, 7)}
     none = p3_found(spark.createDataFrame([], M), e.limit(0), spark.createDataFrame([], "area_id bigint, ring array<struct<lat: double, lon: double>>"))
     assert none.count() == 0 and none.columns == ["kind", "key_a", "key_b"]
+
+
+def test_leaders_find_the_cells_that_all_pivots_find():
+    rnd = np.random.default_rng(5)
+    lat, lon = np.degrees(np.arcsin(rnd.uniform(-1, 1, 9000))), rnd.uniform(-180, 180, 9000)
+    lat[:3000], lon[:3000] = 51.5 + rnd.normal(0, 0.2, 3000), rnd.normal(0, 0.3, 3000)
+    a = np.radians(np.array([lat[::2], lon[::2]]))
+    pivots = spatial.np_unit(a[0], a[1])[rnd.permutation(4500)]
+    for reach in (100.0, 50_000.0, -spatial._SLACK_M):
+        got, want = (sorted(zip(*(x.tolist() for x in f))) for f in (spatial._cells(lat, lon, np.full(9000, reach), pivots), spatial._near_pivots(spatial.np_unit(np.radians(lat), np.radians(lon)), np.full(9000, (2 * reach + spatial._SLACK_M) / spatial.EARTH_M), pivots)))
+        assert got == want and {g[0] for g in got if g[2]} == set(range(9000))
+    assert len(spatial._cells(lat[:0], lon[:0], lat[:0], pivots)[0]) == 0

@@ -20,35 +20,40 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.geo import EARTH_M, VPTree, np_haversine_m, np_unit, usable
 
-#: Points wanted in a cell, and the most pivots; the pivots are the only thing sent to every task (24 bytes each).
-CELL_POINTS, MAX_PIVOTS = 1500, 2048
+#: Points wanted in a cell, and the most pivots. The pivots are the only thing sent to every task: 24 bytes each, 1.5 MB at
+#: most. Beyond CELL_POINTS * MAX_PIVOTS positions cells grow, and their trees with them by n log n: 30,000 points at 2e9.
+CELL_POINTS, MAX_PIVOTS = 1500, 1 << 16
+#: Pivots that lead to the others.
+LEADERS = 256
 _SLACK_M = 1.0
 
 
 def choose_pivots(points: DataFrame, cell_points: int = CELL_POINTS, max_pivots: int = MAX_PIVOTS) -> np.ndarray:
     """Pivots as unit vectors: the points with the smallest hashes, at most ``max_pivots`` of them.
 
-    ``points`` holds distinct ``lat``, ``lon``. The draw is deterministic and follows the density.
+    ``points`` holds distinct ``lat``, ``lon``. The draw is deterministic and follows the density; a threshold on the
+    hash chooses the points, so that no task sorts them.
     """
     n = points.count()
-    k = int(min(max_pivots, max(1, n // cell_points)))
-    rows = points.orderBy(F.xxhash64("lat", "lon"), "lat", "lon").limit(k).collect()
-    if not rows:
+    if not n:
         return np.zeros((0, 3))
-    a = np.radians(np.array([(r["lat"], r["lon"]) for r in rows], dtype=float))
+    k = int(min(max_pivots, max(1, n // cell_points)))
+    whole = 1 << 40
+    drawn = points.select("lat", "lon", F.pmod(F.xxhash64("lat", "lon"), F.lit(whole)).alias("h")).filter(F.col("h") < int(min(1.0, (1.2 * k + 30) / n) * whole))
+    rows = sorted((r["h"], r["lat"], r["lon"]) for r in drawn.collect())[:k]
+    a = np.radians(np.array([r[1:] for r in rows], dtype=float)).reshape(-1, 2)
     return np_unit(a[:, 0], a[:, 1])
 
 
-def _cells(lat: np.ndarray, lon: np.ndarray, reach: np.ndarray, pivots: np.ndarray):
-    """(item, cell, home) of each item: its nearest pivot's cell, and every cell its ball may reach."""
+def _near_pivots(vec: np.ndarray, margin: np.ndarray, pivots: np.ndarray):
+    """(item, pivot, nearest) of each item: its nearest pivot, and all at most ``margin`` (an angle) farther away."""
     rows, cells, homes = [], [], []
-    vec = np_unit(np.radians(lat), np.radians(lon))
     step = max(1, 2_000_000 // max(1, len(pivots)))
-    for s in range(0, len(lat), step):
+    for s in range(0, len(vec), step):
         dots = vec[s : s + step] @ pivots.T
         home = dots.argmax(1)
         nearest = np.arccos(np.clip(dots[np.arange(len(home)), home], -1, 1))
-        limit = np.minimum(np.pi, nearest + (2 * reach[s : s + step] + _SLACK_M) / EARTH_M)
+        limit = np.minimum(np.pi, nearest + margin[s : s + step])
         mask = dots >= np.cos(limit)[:, None]
         mask[np.arange(len(home)), home] = True
         r, c = np.nonzero(mask)
@@ -60,6 +65,37 @@ def _cells(lat: np.ndarray, lon: np.ndarray, reach: np.ndarray, pivots: np.ndarr
     return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
 
 
+def _cells(lat: np.ndarray, lon: np.ndarray, reach: np.ndarray, pivots: np.ndarray):
+    """(item, cell, home) of each item: its nearest pivot's cell, and every cell its ball may reach.
+
+    Of many pivots some lead: an item with leader l at distance d has every pivot it needs within d plus its margin,
+    so within 2 d plus the margin of l; only those are looked at.
+    """
+    vec = np_unit(np.radians(lat), np.radians(lon))
+    margin = (2 * reach + _SLACK_M) / EARTH_M
+    if len(pivots) <= 4 * LEADERS:
+        return _near_pivots(vec, margin, pivots)
+    leaders = pivots[:LEADERS]
+    own = np.concatenate([(vec[s : s + 8192] @ leaders.T).argmax(1) for s in range(0, len(vec), 8192)]) if len(vec) else np.empty(0, int)
+    order = np.argsort(own, kind="stable")
+    found = []
+    for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+        if not len(part):
+            continue
+        leader = leaders[own[part[0]]]
+        far = np.arccos(np.clip(vec[part] @ leader, -1, 1))
+        # the closer half needs far fewer pivots than the outermost item
+        for some in np.split(part[np.argsort(far, kind="stable")], [len(part) // 2, len(part) * 7 // 8]):
+            if len(some):
+                d = np.arccos(np.clip(vec[some] @ leader, -1, 1))
+                near = np.flatnonzero(pivots @ leader >= np.cos(min(np.pi, (2 * d + np.maximum(margin[some], 0)).max() + 1e-9)))
+                i, c, h = _near_pivots(vec[some], margin[some], pivots[near])
+                found.append((some[i], near[c], h))
+    if not found:
+        return _near_pivots(vec, margin, pivots)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _assign(pivots: np.ndarray, reach_m: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
