@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.geo import haversine_km, usable
@@ -142,10 +142,11 @@ def town_placements(museums: DataFrame, spread_km: float = 50.0) -> DataFrame:
     return one.unionByName(two)
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): connected components of edges (a, b); the label is the smallest node.
 
-    Large-star and small-star rounds until nothing changes; each round cuts the lineage in the shared folder.
+    Large-star and small-star rounds until nothing changes; each round cuts the lineage in the shared folder. Raises
+    if ``rounds`` don't suffice (they grow with the logarithm of the longest path).
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
@@ -158,27 +159,55 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = cut(small)
-        mark = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == tuple(mark):
+        mark = tuple(e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first())
+        if before == mark:
             break
-        before = tuple(mark)
+        before = mark
+    else:
+        raise RuntimeError("the components haven't settled")
     label = e.groupBy("u").agg(F.min("v").alias("label"))
     return nodes.join(label, nodes["node"] == label["u"], "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def entity_edges(rows: DataFrame) -> DataFrame:
-    """Edges between rows that share an id, or a compact name or alias in a known country.
+def name_keys(rows: DataFrame) -> DataFrame:
+    """(id, key): every name and alias of a row as a compact key in its country; none where the country is unknown."""
+    names = F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name")
+    named = rows.select("id", known_country(F.col("country")).alias("country"), names).filter("id IS NOT NULL AND country IS NOT NULL")
+    keyed = named.select("id", compact_key(F.col("name")).alias("key"), compact_key(F.col("country")).alias("country")).filter("key <> ''")
+    return keyed.select("id", F.concat_ws("|", "key", "country").alias("key")).distinct()
 
-    A name key is usable only if at most one external id answers to it; keys are hubs, so a key costs one edge a row.
+
+def entities(rows: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node, label): rows of one entity have one label, the smallest id among them.
+
+    Rows of one external id are one entity. A name key that one entity answers to recognises rows without an id; a
+    key that two entities answer to recognises none. A row that joins brings its keys, so the rounds go on until
+    nothing joins; a row whose keys speak for two entities stays alone. So no two ids ever meet, in whatever order the
+    rows come. Rows that no entity claims join one another at the keys that none of them answers to.
     """
-    m = rows.select("id", filled(F.col("wikidata_id")).alias("wid"), known_country(F.col("country")).alias("country"), F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("names"))
-    named = m.filter("country IS NOT NULL").select("id", "wid", "country", F.explode("names").alias("name"))
-    keyed = named.select("id", "wid", F.concat(compact_key(F.col("name")), F.lit("|"), F.lower("country")).alias("key")).filter("key IS NOT NULL AND key NOT LIKE '|%'")
-    hub = keyed.groupBy("key").agg(F.count_distinct("wid").alias("ids"), F.min("id").alias("hub")).filter("ids <= 1")
-    by_name = keyed.join(hub, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    same = m.filter("wid IS NOT NULL").groupBy("wid").agg(F.min("id").alias("hub"))
-    by_id = m.join(same, "wid").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    return by_name.unionByName(by_id).distinct()
+    keys = cut(name_keys(rows))
+    ids = rows.filter("id IS NOT NULL").groupBy("id").agg(F.max(filled(F.col("wikidata_id"))).alias("wid"))
+    known = cut(ids.filter("wid IS NOT NULL").select("id", F.col("wid").alias("entity")))
+
+    def claims(labels: DataFrame) -> DataFrame:
+        return keys.join(labels, "id").groupBy("key").agg(F.min("entity").alias("one"), F.max("entity").alias("other"))
+
+    for _ in range(rounds):
+        sole = claims(known).filter("one = other").select("key", F.col("one").alias("entity"))
+        open_ = keys.join(known.select("id"), "id", "left_anti").join(sole, "key")
+        new = cut(open_.groupBy("id").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).filter("entity = other").select("id", "entity"))
+        if new.isEmpty():
+            break
+        known = cut(known.unionByName(new))
+    else:
+        raise RuntimeError("the entities haven't settled")
+    rest = keys.join(known.select("id"), "id", "left_anti").join(claims(known).select("key"), "key", "left_anti")
+    hub = rest.groupBy("key").agg(F.min("id").alias("hub"))
+    alone = components(rest.join(hub, "key").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    named = ids.select("id").join(known, "id", "left").join(alone.withColumnRenamed("node", "id"), "id", "left")
+    own = named.select("id", F.coalesce(F.concat(F.lit("w"), "entity"), F.concat(F.lit("c"), F.coalesce("label", "id").cast("string"))).alias("entity"))
+    first = own.groupBy("entity").agg(F.min("id").alias("label"))
+    return own.join(first, "entity").select(F.col("id").alias("node"), "label")
 
 
 def apply_merges(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -201,7 +230,3 @@ def fold_enriched(raw: DataFrame, enriched: DataFrame, key: str, gaps: list[str]
         new = F.coalesce(filled(F.col(f"e.{c}")), F.col(f"r.{c}")) if c in gaps else F.col(f"e.{c}")
         out.append(F.when(there, new).otherwise(F.col(f"r.{c}")).alias(c))
     return both.select(*out)
-
-
-def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -60,8 +60,8 @@ def _retire(s, d):
     return schedule.retire_unseen(e, reads)
 
 
-def _edges(s, d):
-    return resolve.components(resolve.entity_edges(table(s, d, "museums")))
+def _entities(s, d):
+    return resolve.entities(table(s, d, "museums"))
 
 
 def _enriched(s, d):
@@ -101,7 +101,7 @@ QUERIES = {
     "name_variant_merges": lambda s, d: resolve.name_variant_merges(_normal(table(s, d, "museums"))),
     "exhibition_merges": lambda s, d: resolve.exhibition_merges(table(s, d, "exhibitions")),
     "town_placements": lambda s, d: resolve.town_placements(table(s, d, "museums")).select("id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), "tier"),
-    "entities": _edges,
+    "entities": _entities,
     "enriched_fold": _enriched,
     "audit_museums": lambda s, d: quality.audit_museums(table(s, d, "museums"), _countries(s, d)),
     "audit_report": lambda s, d: quality.report(quality.audit_museums(table(s, d, "museums"), _countries(s, d)).unionByName(quality.audit_exhibitions(table(s, d, "exhibitions"), TODAY))),
@@ -193,6 +193,27 @@ b AS (
 u AS (SELECT *, coalesce(nullif(wikidata_id, ''), normalized || '|' || coalesce(country, '')) AS identity, side * 1000000000000 + id AS ord FROM b)
 """
 
+_KEY = "regexp_replace(lower({x}), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
+#: Rounds in which rows join entities: as many as the SQL unrolls.
+_ROUNDS = range(6)
+_JOINED = ", ".join(
+    f"""s{i} AS (SELECT key, min(e) AS e FROM k JOIN l{i} ON l{i}.id = k.id GROUP BY key HAVING count(DISTINCT e) = 1),
+l{i + 1} AS (SELECT * FROM l{i} UNION ALL SELECT k.id, min(s{i}.e) FROM k JOIN s{i} ON s{i}.key = k.key WHERE k.id NOT IN (SELECT id FROM l{i}) GROUP BY k.id HAVING count(DISTINCT s{i}.e) = 1)"""
+    for i in _ROUNDS
+)
+_ENTITIES = f"""
+WITH RECURSIVE ids AS (SELECT id, max(nullif(wikidata_id, '')) AS wid FROM museums WHERE id IS NOT NULL GROUP BY id),
+n AS (SELECT id, {_KNOWN} AS c, unnest(list_concat([name], aliases)) AS called FROM museums WHERE id IS NOT NULL),
+k AS (SELECT DISTINCT id, {_KEY.format(x='called')} || '|' || {_KEY.format(x='c')} AS key FROM n WHERE c IS NOT NULL AND {_KEY.format(x='called')} <> ''),
+l0 AS (SELECT id, wid AS e FROM ids WHERE wid IS NOT NULL),
+{_JOINED},
+r AS (SELECT id, key FROM k WHERE id NOT IN (SELECT id FROM l6) AND key NOT IN (SELECT key FROM k JOIN l6 ON l6.id = k.id)),
+x AS (SELECT DISTINCT a.id AS a, b.id AS b FROM r a JOIN r b ON a.key = b.key),
+w AS (SELECT a AS node, a AS seen FROM x UNION SELECT w.node, x.b FROM w JOIN x ON x.a = w.seen),
+c AS (SELECT node, min(seen) AS low FROM w GROUP BY node),
+o AS (SELECT ids.id, coalesce('w' || l6.e, 'c' || CAST(coalesce(c.low, ids.id) AS VARCHAR)) AS e FROM ids LEFT JOIN l6 ON l6.id = ids.id LEFT JOIN c ON c.node = ids.id)
+SELECT id AS node, min(id) OVER (PARTITION BY e) AS label FROM o"""
+
 SQL = {
     "nearby": f"WITH n AS ({_NEAR}) SELECT id, name, country, distance_km, (SELECT count(*) FROM n) AS total FROM n ORDER BY distance_km, id LIMIT 500",
     "nearby_verified": f"WITH n AS ({_NEAR}), v AS (SELECT * FROM n WHERE verified) SELECT id, name, country, distance_km, (SELECT count(*) FROM v) AS total FROM v ORDER BY distance_km, id LIMIT 20 OFFSET 5",
@@ -289,6 +310,7 @@ g2 AS (SELECT c2.country, c2.head, any_value(clat) AS clat, any_value(clon) AS c
 one AS (SELECT id, clat, clon, 1 AS tier FROM m JOIN g1 ON g1.country = m.country AND g1.town = m.town WHERE lat IS NULL)
 SELECT id, round(clat, 8) AS lat, round(clon, 8) AS lon, tier FROM (SELECT * FROM one
   UNION ALL SELECT m.id, g2.clat, g2.clon, 2 FROM m JOIN g2 ON g2.country = m.country AND g2.head = m.head WHERE m.lat IS NULL AND length(m.head) >= 4 AND m.id NOT IN (SELECT id FROM one)) z""",
+    "entities": _ENTITIES,
     "enriched_fold": """
 SELECT coalesce(e.record_id, m.id) AS id, CASE WHEN e.record_id IS NULL THEN m.name ELSE e.name END AS name,
   CASE WHEN e.record_id IS NULL THEN m.website ELSE coalesce(nullif(e.website, ''), m.website) END AS website,
