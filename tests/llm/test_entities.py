@@ -122,13 +122,19 @@ def test_variants(spark):
     assert variants.p4_found(m.limit(0), p.limit(0)).count() == 0
 
 
-def test_subjects():
-    common = frozenset("museum of salt toys house haus edward casa musee du verre".split())
-    other = matching.other_subject
-    assert other(["kolu", "museum", "of", "salt"], ["kolu", "museum", "of", "toys"], common)
-    assert not other(["kolu", "museum", "of", "salt"], ["kolu", "museum", "of", "slat"], common)
-    assert not other(["edward", "kolu", "haus"], ["edward", "kolu", "house"], common)
-    assert not other(["kolu", "museum", "of", "salt"], ["musee", "kolu", "du", "verre"], common)
+def test_meanings_are_learned_and_part_subjects(spark):
+    stems = [a + b for a in ("bakiru", "dolenu", "gosami", "kutofi", "metiva", "pifulo", "rezane") for b in ("bezan", "dorik", "gulem", "kifas")]
+    kinds = [("musee", "verre", "glass"), ("musee", "sel", "salt"), ("museo", "vidrio", "glass"), ("museo", "sal", "salt"), ("musee", "jouet", "toys"), ("museo", "barco", "ships"), ("musee", "musique", "music"), ("museo", "moneda", "coins"), ("musee", "pain", "bread"), ("museo", "mina", "mining")]
+    rows = [(i, f"{k[0]} {k[1]} {s}", f"{s} {k[2]} museum") for i, (s, k) in enumerate((s, k) for s in stems for k in kinds)]
+    usual = spark.createDataFrame([(w, w) for w in {"musee", "museo", "museum", "ath", *(x for k in kinds for x in k[1:])}], "token string, word string")
+    pairs = spark.createDataFrame([*rows, *rows, (999, "a", "a")], "id bigint, own string, other string")
+    got = {r.token: r.senses for r in variants.senses(pairs, usual, spark.createDataFrame([("ath",)], "token string")).collect()}
+    assert got == {w: [k[2]] for k in kinds for w in k[1:]}
+    assert variants.senses(pairs.limit(0), usual, usual.select("token")).count() == 0
+    m = museums(spark, *(dict(id=i, name=n.title(), aliases=[o.title()], locality="Ghent") for i, n, o in rows), dict(id=9000, name="Pifulometi Glass Museum", locality="Ath"), dict(id=9001, name="Musee Verre Pifulometi", locality="Ath"), dict(id=9002, name="Museo Sal Pifulometi", locality="Ath"))
+    p = spark.createDataFrame([(1, "pifulomeit salt museum", None, None)], "place_id bigint, query string, display_name string, location struct<lat: double, lon: double>")
+    got = {tuple(r) for r in variants.p4_found(m, p).collect()}
+    assert {g for g in got if g[1] >= 9000} == {("rows", 9000, 9001), ("query", 9002, 1)}
 
 
 def test_vectors_keep_their_cosines():
@@ -168,16 +174,15 @@ def test_matching_held_out_accuracy_and_edges(spark):
 
 def test_hyperplanes_find_nine_in_ten_of_brute_force(spark):
     m, s, _ = _catalogue(spark, 900)
-    rec = matching.profiles(m, "m", "id", "aliases", m.street, m.postcode, gazetteer(spark)).unionByName(matching.profiles(s, "s", "record_id", "other_names", s.source, s.source, gazetteer(spark)))
-    rows = rec.select("rid", "side", "names", "host", "town").collect()
-    counts = matching.word_sketch(rec)
-    e = matching.Embedder(matching.fit_vectors(rows[:500]), counts, len(rows), matching.common_words(rows[:500]))
-    v = e([r.names for r in rows], [r.host for r in rows])
-    si, mi = [i for i, r in enumerate(rows) if r.side == "s"], [i for i, r in enumerate(rows) if r.side == "m"]
-    c = v[si] @ v[mi].T
-    want = {(rows[si[i]].rid, rows[mi[j]].rid) for i, j in zip(*np.nonzero(c >= 0.75))}
-    got = {(r.sid, r.mid) for r in matching.candidate_pairs(rec, spark.sparkContext.broadcast(e), 4_000_000, 0.7).collect()}
+    rec = matching.profiles(m, "m", "id", "aliases", m.street, m.postcode, gazetteer(spark)).unionByName(matching.profiles(s, "s", "record_id", "other_names", s.source, s.source, gazetteer(spark))).cache()
+    names = matching.name_classes(rec, spark.sparkContext.broadcast(w := matching._learn(rec, rec.count()))).cache()
+    rows = names.filter("keyed").collect()
+    v = np.array([w.vector(r.nk) for r in rows])
+    c = v @ v.T
+    want = {(rows[i].h, rows[j].h) for i, j in zip(*np.nonzero(c >= matching.LEAST_COSINE)) if rows[i].in_s and rows[j].in_m}
+    got = {(r.hs, r.hm) for r in matching.candidate_pairs(names.filter("keyed"), 400_000, matching.LEAST_COSINE - matching._ROUNDING).collect()}
     assert want and len(want & got) / len(want) >= 0.9 and not math.isnan(c.sum())
+    assert len(names.collect()) == len({r.nk for r in names.collect()})
 
 
 @pytest.mark.parametrize("coarse, fine", [(2, 6), (2, 9), (4, 10), (4, 14)])
@@ -198,25 +203,24 @@ def test_probes_keep_nine_in_ten_at_the_least_cosine_at_every_size(coarse, fine)
     assert met.mean() >= 0.9
 
 
-def test_a_name_counts_though_its_heaviest_words_are_typings_and_towns():
-    common = frozenset("musiksammlung music museum of".split())
-    weigh = lambda w: {"kiheiroudaisen": 9.0}.get(w, 3.0 if w in common else 10.0)
-    row = dict.fromkeys(("host", "town", "nation", "lat", "lon", "street", "postcode", "wikidata_id"))
-    s = {**row, "names": ["MSIKSAMMLUNG KIHEIROUDAISEN", "Kiheiroudaisen Painuingen"], "town": "painuingen"}
-    m = {**row, "names": ["Kiheiroudaisen Museum of Music"]}
-    x = dict(zip(matching.FEATURES, matching.pair_features(s, m, 0.7, weigh, 8.0, common)))
-    assert x["keyed"] == 1.0 and x["similar"] >= variants.SIMILAR and x["bare"] == 0.0
+def test_wording_mends_typings_and_tells_key_words():
+    counts = {"music": 400, "museum": 900, "of": 800, "musiksammlung": 300, "ath": 200}
+    w = matching.Wording(counts, 4000, {}, {"music": ["music"], "musiksammlung": ["music"]})
+    assert w.usual("msiksammlung") == "musiksammlung" and w.usual("musuem") == "museum" and w.usual("kiheiroudaisen") == "kiheiroudaisen"
+    ws, subject = w.shape("msiksammlung kiheiroudaisen")
+    assert subject == ["music"] and [(t, k) for t, _, k in ws] == [("music", False), ("kiheiroudaisen", True)]
+    assert w.vector("kiheiroudaisen musuem of music") @ w.vector("museum of music kiheiroudaisen") > 0.999
+    assert w.vector("kiheiroudaisen msiksammlung") @ w.vector("kiheiroudasien museum of music") > matching.LEAST_COSINE
+    assert abs(w.vector("kiheiroudaisen museum") @ w.vector("bolutevarani museum")) < 0.4
 
 
-def test_common_words_are_those_of_all_records_not_of_the_sample(spark, monkeypatch):
+def test_counts_are_those_of_all_records_not_of_the_sample(spark, monkeypatch):
     m, s, _ = _catalogue(spark, 200)
-    seen = []
     monkeypatch.setattr(matching, "FIT_RECORDS", 10)
-    monkeypatch.setattr(matching, "Embedder", lambda grams, counts, total, common: seen.append(common) or 1 / 0)
-    with pytest.raises(ZeroDivisionError):
-        matching.match_records(m, s, gazetteer(spark))
+    rec = matching.profiles(m, "m", "id", "aliases", m.street, m.postcode, gazetteer(spark)).unionByName(matching.profiles(s, "s", "record_id", "other_names", s.source, s.source, gazetteer(spark)))
+    counts = matching._learn(rec, rec.count()).counts
     rows = m.select("name").union(s.select("name")).collect()
-    assert seen == [matching.common_words([{"names": [r.name]} for r in rows])] and "museum" in seen[0]
+    assert counts["of"] == sum(" of " in r.name for r in rows) and all(n >= variants.KEY_MENTIONS for n in counts.values())
 
 
 def test_variants_without_a_key_word_meet_in_their_place(spark):

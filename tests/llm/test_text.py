@@ -1,7 +1,9 @@
 import base64
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from vitrine.llm import bpe, confusables, packing
 from vitrine.llm.confusables import skeleton
 from vitrine.llm.names import words
-from vitrine.llm.sentences import sentences, split_documents
+from vitrine.llm.sentences import Lattice, dictionary, sentences, split_documents
 
 
 def cut(text):
@@ -72,6 +74,29 @@ def test_pair_index_equals_one_by_one(texts):
     assert own.bpe.encode_pieces(pieces) == [[own.bpe.ranks[p]] if p in own.bpe.ranks else own.bpe._one_by_one(p) for p in pieces]
 
 
+def test_public_prototypes(spark):
+    table = confusables.prototypes(spark)
+    like = lambda a, b: confusables.skeleton(a, table) == confusables.skeleton(b, table)
+    assert like("Bern", "Bem") and like("O1", "0l") and like("Ｍｕｓｅｕｍ", "Мuѕeum") and like("カ", "力") and like("ﬁn", "fin")
+    assert not like("é", "e") and not like("A", "a") and not like("a-b", "a–b") and not like("ö", "o")
+    assert confusables.skeleton(None, table) is None and confusables.skeleton("\u200b", table) == ""
+
+
+def test_copies_share_a_search():
+    began = time.time()
+    where = packing.best_fit(np.full(60_000, 100), np.zeros(60_000, np.int64), np.zeros(60_000, np.int64), 2048)
+    assert len(set(where.tolist())) == 60_000 and time.time() - began < 20
+    sizes, clusters = np.repeat([900, 700, 400], 4), np.array([0, 0, 1, 1, 0, 0, 1, 1, 0, 0, 1, 1])
+    where = packing.best_fit(sizes, clusters, np.zeros(12, np.int64), 2048)
+    assert len({(a, b) for a, b in zip(where.tolist(), clusters.tolist())}) == 12 and max(np.bincount(where, sizes)) <= 2048
+
+
+def test_fill_of_containers(spark):
+    d = spark.createDataFrame([(i, f"text {i} " * 50, "s") for i in range(60)] + [(99, None, "s")], "doc_id bigint, text string, source string")
+    r = packing.p9_fill(d, 512).collect()[0]
+    assert r.fewest <= r.containers <= r.fewest + 2 and r.filled > 0.9 and packing.p9_fill(d.limit(0)).collect()[0].containers == 0
+
+
 def test_packing(spark):
     rnd = random.Random(3)
     items = [(i, f"s{rnd.randint(0, 3)}", i % 150 if i % 5 == 0 else 10_000 + i, rnd.choice([3, 40, 300, 900, 2048])) for i in range(900)]
@@ -115,6 +140,25 @@ def test_other_scripts():
     assert cut("यह किसने बनाई? “छुइए!” उन्होंने कहा। बंद है।") == ["यह किसने बनाई?", "“छुइए!” उन्होंने कहा।", "बंद है।"]
 
 
+def test_gaps_without_a_stop_and_long_texts():
+    assert cut("これは本です 私は読みます") == ["これは本です", "私は読みます"] and cut("東京 国立博物館") == ["東京 国立博物館"]
+    assert cut("博物馆开了 我们去看") == ["博物馆开了", "我们去看"] and cut("博物馆 开馆时间") == ["博物馆 开馆时间"]
+    assert cut("これは本です\n私は読みます") == ["これは本です", "私は読みます"] and cut("これは本です\n東京で") == ["これは本です\n東京で"]
+    assert cut("ຂ້ອຍໄປແລ້ວ ເຂົາຢູ່") == ["ຂ້ອຍໄປແລ້ວ", "ເຂົາຢູ່"]
+    assert cut("「" + "あ" * 80 + "。」" + "い" * 80 + "と言った。次。") == ["「" + "あ" * 80 + "。」" + "い" * 80 + "と言った。", "次。"]  # however far the verb stands
+    for text, n in (("He said “yes. Go on.” and went (a b. c). ", 1), ("a.", 0), ("「はい。」東京", 1), ("“", 0), ("เปิด ทุกวัน ", 0)):
+        began = time.time()
+        assert len(sentences(text * 20_000)) >= n * 20_000 and time.time() - began < 20  # in proportion to the text
+
+
+def test_dictionary_reads_a_vocabulary(tmp_path):
+    f = tmp_path / "v"
+    f.write_bytes(b"\n".join(base64.b64encode(w.encode()) + b" %d" % i for i, w in enumerate(["図書館", "ab", "食", " 東京"])) + b"\nbroken\n" + base64.b64encode(b"\xe3\x81") + b" 9\n")
+    words_ = dictionary(str(f))
+    assert {"図書館", "東京", "です"} <= words_ and not {"ab", "食"} & words_
+    assert Lattice(words_).cut("東京図書館です") == ["東京", "図書館", "です"] and Lattice(words_).cut("") == []
+
+
 def test_blocks():
     assert cut("Opening hours\n\n- one thing\n- two things\n\nA line\nbroken here. The end") == ["Opening hours", "- one thing", "- two things", "A line\nbroken here.", "The end"]
     assert cut("1. Eins\n2. Zwei.\n\nam\n3. Mai kam er.") == ["1. Eins", "2. Zwei.", "am\n3. Mai kam er."]
