@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.functions import html, wikitext
+from vitrine.functions import cards, wikitext
 from vitrine.functions.dates import date_range
+from vitrine.operators import listings
 from vitrine.operators.search import placed
 from vitrine.sources import readers
 from vitrine.session import table
@@ -23,15 +24,30 @@ def _ranges(s, d):
     return r.select("doc_id", F.col("r.start").cast("string").alias("starts_on"), F.col("r.end").cast("string").alias("ends_on"), F.col("r.permanent").alias("permanent")).filter("starts_on IS NOT NULL OR ends_on IS NOT NULL OR permanent")
 
 
-def _pages(s, d):
-    """Every listing as a card of a page, read back through the parser: link, title and machine-readable run."""
-    e = table(s, d, "exhibitions").select("exhibition_id", "url", "title", "starts_on", "ends_on", "source_page").distinct()
+def _page_of(s, d):
+    """Listings as cards of pages, some twenty to a page, between navigation and other links: page_id, url, html."""
+    e = table(s, d, "exhibitions").filter("url IS NOT NULL").select("exhibition_id", "url", "title", "starts_on", "ends_on").distinct()
     time = lambda c: F.coalesce(F.format_string('<time datetime="%s">', F.col(c).cast("string")), F.lit(""))
-    card = F.concat(F.lit("<html><head><title>x</title></head><body><script>var a='<a href=/no>no</a>'</script><h1>Shows</h1><a href=\""), _escape(F.col("url")), F.lit('#top"><h3>'), _escape(F.coalesce("title", F.lit(""))), F.lit("</h3>"), F.when(F.col("starts_on").isNotNull(), time("starts_on")).otherwise(""), F.when(F.col("ends_on").isNotNull(), time("ends_on")).otherwise(""), F.lit('</a><a href="mailto:x@y.example">mail</a></body></html>'))
-    p = e.filter("url IS NOT NULL").select("exhibition_id", html.page(card, F.coalesce("source_page", F.lit(""))).alias("p"))
-    a = p.select("exhibition_id", F.explode("p.anchors").alias("a")).filter("a.href IS NOT NULL")
-    two = F.size("a.times") >= 2
-    return a.select("exhibition_id", F.col("a.href").alias("href"), F.col("a.text").alias("title"), F.when(two, F.array_min("a.times")).alias("first_day"), F.when(two, F.array_max("a.times")).alias("last_day"))
+    card = F.concat(F.lit('<article><a href="'), _escape(F.col("url")), F.lit('#top"><h3>'), _escape(F.coalesce("title", F.lit(""))), F.lit("</h3>"), F.when(F.col("starts_on").isNotNull(), time("starts_on")).otherwise(""), F.when(F.col("ends_on").isNotNull(), time("ends_on")).otherwise(""), F.lit('</a><a href="mailto:x@y.example">mail</a></article>'))
+    # ids are dense: a page has twenty listings and their repeats
+    pages = e.groupBy(F.floor(F.col("exhibition_id") / 20).alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(card)), "\n").alias("cards"))
+    head = "<html><head><title>What's on</title></head><body><script>var a='<a href=/no>no</a>'</script><nav><a href='https://n.example/'>Home</a></nav><h1>Shows</h1><p>" + "The house by the river shows what its people made, kept and traded. " * 6 + "</p>"
+    return pages.select("page_id", F.lit("https://n.example/exhibitions/").alias("url"), F.concat(F.lit(head), "cards", F.lit("</body></html>")).alias("html"))
+
+
+def _pages(s, d):
+    """The cards of those pages, read back: link, title and machine-readable run."""
+    a = cards.page_cards(_page_of(s, d)).filter("href <> 'https://n.example/'")
+    two = F.size("times") >= 2
+    return a.select(F.col("href"), F.trim("text").alias("title"), F.when(two, F.array_min("times")).alias("first_day"), F.when(two, F.array_max("times")).alias("last_day"))
+
+
+def _shows(s, d):
+    """Every source page as a page of its own site: candidates, runs and admission of all listings, merged by title."""
+    p = _page_of(s, d).select("page_id", "url", F.regexp_replace("html", 'href="https?://[^/"]+/', 'href="https://n.example/exhibitions/').alias("html"))
+    today = F.lit("2026-06-01").cast("date")
+    found = listings.admitted(listings.with_runs(listings.candidates(cards.page_cards(p)), today), today)
+    return listings.merged_titles(found, "page_id").select("page_id", "title", "href", "permanent", F.col("starts_on").cast("string").alias("starts_on"), F.col("ends_on").cast("string").alias("ends_on"))
 
 
 def _lists(s, d):
@@ -62,6 +78,7 @@ def _elements(s, d):
 QUERIES = {
     "document_dates": _ranges,
     "listing_pages": _pages,
+    "listing_shows": _shows,
     "list_entries": _lists,
     "catalogue_tree": _tree,
     "tagged_venues": _elements,
@@ -70,10 +87,10 @@ QUERIES = {
 
 SQL = {
     "listing_pages": """
-SELECT DISTINCT exhibition_id, url AS href, coalesce(trim(regexp_replace(title, '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')), '') AS title,
+SELECT url AS href, coalesce(trim(regexp_replace(title, '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')), '') AS title,
   CASE WHEN starts_on IS NOT NULL AND ends_on IS NOT NULL THEN CAST(least(starts_on, ends_on) AS VARCHAR) END AS first_day,
   CASE WHEN starts_on IS NOT NULL AND ends_on IS NOT NULL THEN CAST(greatest(starts_on, ends_on) AS VARCHAR) END AS last_day
-FROM exhibitions WHERE url IS NOT NULL""",
+FROM (SELECT DISTINCT exhibition_id, url, title, starts_on, ends_on FROM exhibitions WHERE url IS NOT NULL)""",
     "catalogue_tree": """
 WITH m AS (SELECT country, locality, sources FROM museums WHERE country IS NOT NULL AND trim(locality) <> ''),
 s AS (SELECT DISTINCT unnest(sources) AS s, country FROM m),
