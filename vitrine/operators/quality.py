@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.geo import haversine_km, usable
+from vitrine.functions.rules import canonical_country, country_in_description
 from vitrine.functions.text import compact_key, known_country, usable_url
 
 # Labels that are buttons, not titles.
@@ -47,6 +48,24 @@ def audit_museums(museums: DataFrame, countries: DataFrame) -> DataFrame:
     return simple.unionByName(duplicates(museums)).unionByName(outliers(museums))
 
 
+# Countries that are also a part of another one.
+ALSO_PARTS = {"Georgia": ("United States",), "Luxembourg": ("Belgium",), "Mexico": ("Mexico",)}
+
+
+def contradictions(museums: DataFrame, spellings: dict[str, str]) -> DataFrame:
+    """Rows whose country and description name different countries; a name that is also a part of the country doesn't contradict it."""
+    stated, told = canonical_country(F.col("country"), spellings), country_in_description(F.col("description"), spellings)
+    part = F.lit(False)
+    for name, of in ALSO_PARTS.items():
+        part = part | ((told == name) & stated.isin(*of))
+    return _find(museums, (stated != told) & ~part, "country-contradicts-description", "error")
+
+
+def in_report_order(findings: DataFrame) -> DataFrame:
+    """Errors first, then warnings, then notes; by check, then subject."""
+    return findings.orderBy(F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2), "check", "subject")
+
+
 def duplicates(museums: DataFrame) -> DataFrame:
     """Groups of two or more rows of one compact name in one known country; the subject is the key."""
     k = F.concat(compact_key(F.col("name")), F.lit("|"), compact_key(known_country(F.col("country"))))

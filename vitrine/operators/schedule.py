@@ -111,3 +111,48 @@ def token_bucket(requests: DataFrame, rate: float = 10.0, burst: float = 30.0) -
         return F.struct(F.when(pay, have - 1.0).otherwise(have).alias("tokens"), t.alias("last"), F.when(pay, a.ok + 1).otherwise(a.ok).alias("ok"), F.when(pay, a.no).otherwise(a.no + 1).alias("no"))
 
     return seq.select("client", F.aggregate("ts", start, step).alias("s")).select("client", F.col("s.ok").alias("allowed"), F.col("s.no").alias("refused"))
+
+
+def read_outcomes(reads: DataFrame, states: DataFrame) -> DataFrame:
+    """(site, outcome, found) of reads (site, reached, not_modified, found, fingerprint) against the saved fingerprints.
+
+    A site of which no page answered has failed; one that says so itself, or whose listings have the saved fingerprint,
+    is unchanged.
+    """
+    r = reads.join(states.select("site", F.col("fingerprint").alias("saved")), "site", "left")
+    same = F.coalesce("not_modified", F.lit(False)) | F.coalesce(F.col("fingerprint") == F.col("saved"), F.lit(False))
+    return r.select("site", F.when(~F.coalesce("reached", F.lit(False)), "failed").when(same, "unchanged").otherwise("changed").alias("outcome"), F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def next_reads(states: DataFrame, outcomes: DataFrame, closes: DataFrame, now: datetime) -> DataFrame:
+    """(site, interval_hours, failures, parked, due_at, reason) after a read at ``now``.
+
+    ``states``: site, interval_hours (null or 0 before the first good read), failures; ``outcomes``: site, outcome;
+    ``closes``: site, closes (the earliest end of its shows, a date). A closing date pulls the next read in to the day after
+    it, if that is still to come and earlier; failures and parking go before it.
+    """
+    j = outcomes.join(states.select("site", "interval_hours", "failures"), "site", "left").join(closes.groupBy("site").agg(F.min("closes").alias("closes")), "site", "left")
+    first = F.coalesce("interval_hours", F.lit(0.0)) <= 0
+    held = F.when(first, START).otherwise(F.col("interval_hours"))
+    failed = F.col("outcome") == "failed"
+    failures = F.when(failed, F.coalesce("failures", F.lit(0)) + 1).otherwise(F.lit(0))
+    j = j.select("site", "outcome", first.alias("first"), F.when(failed | first, held).otherwise(next_interval(held, F.col("outcome"))).alias("interval_hours"), failures.alias("failures"), F.col("closes").cast("timestamp").alias("closes"))
+    after = lambda h: F.lit(now) + F.make_dt_interval(hours=F.floor(h).cast("int"), mins=F.floor((h - F.floor(h)) * 60).cast("int"))
+    usual = after(wait_hours(F.col("interval_hours"), F.col("failures")))
+    recheck = F.col("closes") + F.make_dt_interval(days=F.lit(1))
+    pulled = F.coalesce((F.col("failures") == 0) & (recheck > F.lit(now)) & (recheck < usual), F.lit(False))
+    reason = F.when(F.col("failures") >= PARK_AT, F.concat(F.lit("parked after "), F.col("failures").cast("string"), F.lit(" failures"))).when(F.col("failures") > 0, F.concat(F.lit("failure "), F.col("failures").cast("string")))
+    reason = reason.when(pulled, F.concat(F.lit("a show closes "), F.date_format("closes", "yyyy-MM-dd"))).when(F.col("first"), "first read").when(F.col("outcome") == "changed", "changed").otherwise("unchanged")
+    return j.select("site", "interval_hours", F.col("failures").cast("bigint").alias("failures"), (F.col("failures") >= PARK_AT).alias("parked"), F.when(pulled, recheck).otherwise(usual).alias("due_at"), reason.alias("reason"))
+
+
+def sweep_totals(outcomes: DataFrame) -> DataFrame:
+    """(outcome, sites, found) of a sweep."""
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("sites"), F.sum("found").alias("found"))
+
+
+def sweep_plan(states: DataFrame, now: datetime, workers: int, worker: int, per_minute: int, minutes: int = 1) -> DataFrame:
+    """What a worker would read in the next minutes and why, nothing read: its due sites in order, as many as the pace allows."""
+    mine = share(states.join(due(states, now).select("site", "never"), "site"), workers, worker)
+    why = F.when(F.col("never"), "never read").otherwise("due")
+    return mine.orderBy(F.desc("never"), "next_due_at", "site").limit(per_minute * minutes).select("site", why.alias("reason"))
