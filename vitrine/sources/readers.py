@@ -20,6 +20,14 @@ def json_objects(spark: SparkSession, prefix: str, schema: str | StructType) ->
     return spark.read.schema(text + ", _corrupt_record string").option("recursiveFileLookup", "true").option("multiLine", "true").json(prefix)
 
 
+def read_one(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """One JSON object; None if it isn't there, which is no error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
 def union_sources(sources: dict[str, DataFrame], wanted: str = "") -> DataFrame:
     """Union of the named sources (all by default) with a ``source`` column; unknown and repeated names are ignored."""
     names = list(dict.fromkeys(n.strip() for n in wanted.split(",") if n.strip() in sources)) or list(sources)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,9 @@ def insert_absent(rows: DataFrame, path: str, key: str) -> int:
     new = rows.filter(F.col(key).isNotNull()).dropDuplicates([key])
     if _exists(spark, path):
         new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    before = spark.read.parquet(path).count() if _exists(spark, path) else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    stored = Observation()
+    new.observe(stored, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return stored.get["n"]
 
 
 def put_partitions(rows: DataFrame, path: str, by: str) -> None:
