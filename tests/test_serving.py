@@ -4,7 +4,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.functions import geo, rules, text
+from vitrine.functions import geo, html, rules, text, wikitext
 from vitrine.operators import lookup, quality, resolve, schedule, search, state, wiki
 from vitrine.sources import readers, sinks
 
@@ -143,3 +143,61 @@ def test_state_writes(spark):
     q = spark.createDataFrame([(1, "ok", 0, (1.0, 1.0)), (2, " ", 0, None), (3, "x", -1, None), (4, "y", None, (99.0, 0.0)), (5, None, 0, None)], "id int, name string, sitelinks int, location struct<lat: double, lon: double>")
     good, bad = resolve.quarantine(q)
     assert [r.id for r in good.collect()] == [1] and sorted(r.id for r in bad.collect()) == [2, 3, 4, 5]
+
+
+def test_boxes_windows_and_zoom(spark):
+    m = spark.createDataFrame([(i, (1.0 + i, 1.0), i) for i in range(5)], "id bigint, location struct<lat: double, lon: double>, sitelinks int")
+    points, more = search.box_points(m, 90.5, 0, -95, 2, 3)
+    assert [r.point for r in points.collect()] == [[4.0, 5.0, 1.0], [3.0, 4.0, 1.0], [2.0, 3.0, 1.0]] and more and not search.box_points(m, 0, 0, 9, 2, 5)[1]
+    assert search.time_window("weekend", date(2026, 6, 3)) == (date(2026, 6, 6), date(2026, 6, 7)) and search.time_window("weekend", date(2026, 6, 7)) == (date(2026, 6, 7),) * 2
+    assert search.time_window("now", date(2026, 6, 3)) == (date(2026, 6, 3),) * 2 and search.time_window("month", date(2026, 6, 1))[1] == date(2026, 7, 1)
+    with pytest.raises(ValueError):
+        search.time_window("never", date(2026, 6, 1))
+    z = spark.range(1).select(geo.zoom_for(F.lit(0.01)).alias("a"), geo.zoom_for(F.lit(2.0)).alias("b"), geo.zoom_for(F.lit(50.0)).alias("c")).first()
+    assert z.a == 16 and z.a > z.b > z.c >= 3 and 19 < geo.cell_reach_km() < 20
+
+
+def test_merges_settle(spark):
+    schema = "id bigint, wikidata_id string, name string, normalized string, country string, locality string, description string, website string, aliases array<string>, sources array<string>, verified boolean, sitelinks int, location struct<lat: double, lon: double>"
+    row = lambda i, w, n, al: (i, w, n, n.lower(), "Spain", None, None, None, al, ["osm"], False, i, None)
+    df = spark.createDataFrame([row(1, "Q1", "A", ["B"]), row(2, None, "B", ["C"]), row(3, None, "C", [])], schema)
+    got = resolve.settled(df, resolve.alias_merges).collect()
+    assert [r.id for r in got] == [1] and set(got[0].aliases) == {"B", "C"} and got[0].sitelinks == 3
+
+
+def test_entities_become_rows(spark):
+    schema = "id bigint, wikidata_id string, name string, country string, locality string, description string, website string, aliases array<string>, sources array<string>, classes array<string>, verified boolean, sitelinks int, location struct<lat: double, lon: double>"
+    rows = [(1, "Q1", "Alpha", "unknown", None, "", "", ["Shared"], ["lists"], [], False, 1, (0.0, 0.0)), (2, "Q1", "Beta", "France", "Ath", "d", "w", [], ["osm"], ["art"], True, 5, (1.0, 2.0)), (3, "Q1", "Gamma", "Belgium", None, None, None, [], ["wikidata"], [], None, 0, None)]
+    got = resolve.merged_entities(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 1 and (got[0].id, got[0].name, got[0].country, got[0].locality, got[0].aliases, got[0].verified, got[0].sitelinks, got[0].location.lat) == (1, "Alpha", "Belgium", "Ath", ["Beta", "Gamma", "Shared"], True, 5, 1.0)
+
+
+def test_report_levels(spark):
+    f = spark.createDataFrame([("a", "info", "1"), ("b", "warning", "2"), ("a", "error", "3")], "check string, severity string, subject string")
+    assert quality.at_least(f, "warning").count() == 2 and quality.at_least(f, "info", "a").count() == 2
+    assert quality.exit_status(f, "error") == 1 and quality.exit_status(f.filter("severity = 'info'"), "warning") == 0
+    e = spark.createDataFrame([(1, "https://m.example/events/list/2", "https://m.example/", False), (2, "https://m.example/events/glass", "https://m.example/", False), (3, "https://m.example/", "https://m.example", True), (4, None, None, None)], "exhibition_id int, url string, source_page string, permanent boolean")
+    assert [r.exhibition_id for r in quality.navigation_listings(e).collect()] == [1]
+
+
+def test_robots_files(spark):
+    files = spark.createDataFrame([("h", "User-agent: bad\nDisallow: /\n\nUser-Agent: *\nUser-agent: other\nDisallow: /private # x\nAllow: /private/open\nDisallow:\n\nUser-agent: z\nDisallow: /z"), ("i", None)], "host string, text string")
+    got = rules.robots_rules(files)
+    assert {tuple(r) for r in got.collect()} == {("h", "/private", False), ("h", "/private/open", True)}
+    paths = spark.createDataFrame([("h", "/private/x"), ("h", "/private/open/x"), ("h", "/z"), ("i", "/")], "host string, path string")
+    assert {(r.host, r.path): r.allowed for r in rules.allowed_paths(paths, got).collect()} == {("h", "/private/x"): False, ("h", "/private/open/x"): True, ("h", "/z"): True, ("i", "/"): True}
+
+
+def test_labels_addresses_areas_and_cells(spark):
+    df = spark.createDataFrame([(date(2026, 5, 1), date(2026, 6, 2), False), (None, date(2026, 6, 2), False), (date(2026, 5, 1), None, False), (None, None, True), (None, None, False)], "s date, e date, p boolean")
+    assert [r[0] for r in df.select(text.run_label(F.col("s"), F.col("e"), F.col("p"))).collect()] == ["1 May 2026 – 2 Jun 2026", "until 2 Jun 2026", "from 1 May 2026", "permanent", ""]
+    fields = "struct<house_number: string, road: string, postcode: string, city: string, town: string, village: string, borough: string, suburb: string, state: string, country: string>"
+    a = spark.createDataFrame([(("12", "Main St", "7800", None, "Ath", None, None, None, None, "Belgium"),), ((None,) * 10,)], f"a {fields}")
+    assert [r[0] for r in a.select(rules.address_line(F.col("a"))).collect()] == ["12 Main St, 7800 Ath, Belgium", None]
+    read = spark.createDataFrame([("x", datetime(2026, 5, 31, 12)), ("y", datetime(2026, 5, 1))], "cell string, scraped_at timestamp")
+    assert {(r.cell, r.scraped_at) for r in state.mark_areas(read, spark.createDataFrame([("z",)], "cell string"), NOW).collect()} == {("x", datetime(2026, 5, 31, 12)), ("z", NOW)}
+    assert wikitext.cells_of(" [[A||b]] || {{x||y}} || c ") == [" [[A||b]] ", " {{x||y}} ", " c "] and wikitext.cell('style="x" | [[A|b]] c') == "[[A|b]] c"
+    s = spark.createDataFrame([("a", None, NOW, datetime(2026, 5, 1)), ("b", None, NOW, datetime(2026, 5, 1)), ("c", None, None, None)], "site string, parked_reason string, last_attempt_at timestamp, next_due_at timestamp")
+    assert [r.site for r in schedule.due_by_prominence(s, spark.createDataFrame([("b", 9), ("a", 2)], "site string, sitelinks int"), NOW).collect()] == ["c", "b", "a"]
+    got = html.declared(['{"@type": "Event", "name": "Glass", "url": "/exhibitions/glass", "startDate": "2026-05-01T10:00"}', '{"@type": "Event", "name": "Talk", "url": "/events/talk"}', "{broken"], "https://m.example/")
+    assert [(g["title"], g["start"]) for g in got] == [("Glass", "2026-05-01")]

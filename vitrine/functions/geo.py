@@ -45,6 +45,16 @@ def cell_label(lat: Column, lon: Column, size: float = 0.25) -> Column:
     return F.format_string("%.2f,%.2f", r(lat), r(lon))
 
 
+def cell_reach_km(size: float = 0.25) -> float:
+    """Radius in km that covers a grid cell from its centre, at the equator, where cells are largest: half its diagonal."""
+    return float(size * 111.195 * np.sqrt(2) / 2)
+
+
+def zoom_for(km: Column) -> Column:
+    """Map zoom at which a radius fills about a screen: one less for each doubling, between 3 and 16."""
+    return F.greatest(F.lit(3), F.least(F.lit(16), F.floor(F.lit(14.5) - F.log2(F.greatest(km, F.lit(0.1)))))).cast("int")
+
+
 def radius_for_bbox(south: Column, north: Column, west: Column, east: Column) -> Column:
     """Radius in km that covers a box: half its larger side, between 1 and 50."""
     high = (north - south) * 111.0

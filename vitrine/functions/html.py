@@ -16,6 +16,8 @@ HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
 VOID = ("br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track")
 # Kinds of declared events that are trusted.
 EVENTS = ("ExhibitionEvent", "VisualArtsEvent")
+# Parts of an address that make a plain event a show.
+EVENT_PATHS = ("exhibition", "ausstellung", "exposition", "mostra", "mostre", "exposicion", "tentoonstelling", "utstallning", "utställning", "nayttely", "wystawa")
 
 
 class _Page(HTMLParser):
@@ -119,7 +121,8 @@ def declared(blocks: list[str], base: str | None) -> list[dict]:
             kinds = o.get("@type")
             kinds = kinds if isinstance(kinds, list) else [kinds]
             name, url = _string(o.get("name")), resolve_href(base, _string(o.get("url")) or "")
-            if name and any(k in EVENTS for k in kinds):
+            shown = any(k in EVENTS for k in kinds) or ("Event" in kinds and any(p in urlparse(url or "").path.lower() for p in EVENT_PATHS))
+            if name and shown:
                 out.append({"title": name, "url": url, "start": (_string(o.get("startDate")) or "")[:10] or None, "end": (_string(o.get("endDate")) or "")[:10] or None})
     return out
 
@@ -148,12 +151,21 @@ def _pages(html: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(h, b) for h, b in zip(html, base)], columns=["title", "headings", "text", "anchors", "events"])
 
 
-# Path parts that lead around a site, not to a show.
-NAVIGATION = ("list", "grid", "calendar", "map", "archive", "past", "current", "upcoming", "all", "page", "exhibitions", "ausstellungen", "expositions", "mostre", "exposiciones", "whats-on", "events", "en", "de", "fr", "it", "es")
+# Path parts that are a way of looking at a listing, and sections that a programme lives in.
+VIEWS = (
+    "list", "lista", "liste", "listing", "page", "sida", "seite", "pagina", "paged", "month", "week", "day", "today",
+    "upcoming", "past", "archive", "all", "calendar", "kalender", "grid", "map", "photo", "elenco", "liste-view", "agenda",
+)
+CONTAINERS = (
+    "event", "events", "evenemang", "eventi", "veranstaltungen", "evenementen", "evenements", "exhibition", "exhibitions", "utstallningar",
+    "ausstellungen", "mostre", "expositions", "whats-on", "what-s-on", "programme", "program", "programs", "programmes", "kalendarium",
+    "permanent", "permanent-exhibitions", "permanent-exhibition", "dauerausstellung", "fasta-utstallningar", "basutstallningar", "vaste-collectie",
+)
+VIEWS_AND_CONTAINERS = (*VIEWS, *CONTAINERS)
 
 
 def is_navigation(url: Column, source: Column) -> Column:
     """Whether a link leads to the same page, or only to views, containers and numbers below it."""
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"[?#].*$", ""), r"/+$", "")
     parts = F.filter(F.split(F.regexp_replace(clean(url), r"^https?://[^/]+", ""), "/"), lambda s: s != "")
-    return (clean(url) == clean(source)) | F.forall(parts, lambda s: s.isin(*NAVIGATION) | s.rlike(r"^\d+$"))
+    return (clean(url) == clean(source)) | F.forall(parts, lambda s: s.isin(*VIEWS_AND_CONTAINERS) | s.rlike(r"^\d+$"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,35 @@ def geocode_query(name: Column, locality: Column, country: Column) -> Column:
     return F.array_join(F.transform(first, lambda x: F.trim(x)), ", ")
 
 
+def address_line(a: Column) -> Column:
+    """An address on one line: street, postcode and town, country; null for an empty one."""
+    town = F.nullif(F.concat_ws(" ", filled(a.postcode), locality_of(a)), F.lit(""))
+    return F.nullif(F.concat_ws(", ", street_line(a), town, filled(a.country)), F.lit(""))
+
+
+def robots_rules(files: DataFrame) -> DataFrame:
+    """(host, prefix, allow) for all agents, from robots files (host, text): the groups of "*" alone, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for host, text in zip(b.column("host").to_pylist(), b.column("text").to_pylist()):
+                mine = naming = False
+                for line in (text or "").splitlines():
+                    name, _, value = line.split("#", 1)[0].partition(":")
+                    name, value = name.strip().lower(), value.strip()
+                    if name == "user-agent":
+                        mine, naming = (mine and naming) or value == "*", True
+                    elif name in ("allow", "disallow"):
+                        naming = False
+                        if mine and value:
+                            rows.append((host, value, name == "allow"))
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.bool_()))], ["host", "prefix", "allow"])
+
+    return files.select("host", "text").mapInArrow(run, "host string, prefix string, allow boolean")
+
+
 def allowed_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, allowed): longest matching prefix wins, an allow wins a draw. rules: host, prefix, allow."""
     hit = paths.join(rules.filter("prefix <> ''"), "host", "left").withColumn("n", F.when(F.col("path").startswith(F.col("prefix")), F.length("prefix")))

@@ -124,5 +124,11 @@ def title_from_slug(path: Column) -> Column:
     return F.when((F.length(title) >= 3) & ~title.rlike(r"^[\d ]+$"), title)
 
 
+def run_label(start: Column, end: Column, permanent: Column) -> Column:
+    """A run as people read it."""
+    day = lambda c: F.date_format(c, "d MMM yyyy")
+    return F.when(permanent, "permanent").when(start.isNull() & end.isNull(), "").when(end.isNull(), F.concat(F.lit("from "), day(start))).when(start.isNull(), F.concat(F.lit("until "), day(end))).otherwise(F.concat(day(start), F.lit(" – "), day(end)))
+
+
 def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)

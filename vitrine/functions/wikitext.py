@@ -47,6 +47,28 @@ def plain(s: str) -> str:
     return " ".join(re.sub(r"'{2,}", "", s).split())
 
 
+def cells_of(line: str, mark: str = "||") -> list[str]:
+    """Parts of a table line between marks that don't stand in a link or a template."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(line):
+        two = line[i : i + 2]
+        if two in ("[[", "{{"):
+            depth, i = depth + 1, i + 2
+        elif two in ("]]", "}}"):
+            depth, i = max(0, depth - 1), i + 2
+        elif not depth and line.startswith(mark, i):
+            out.append(line[start:i])
+            i = start = i + len(mark)
+        else:
+            i += 1
+    return [*out, line[start:]]
+
+
+def cell(text: str) -> str:
+    """What a cell holds, without attributes before a single bar outside links."""
+    return cells_of(text, "|")[-1].strip()
+
+
 def is_article(title: str) -> bool:
     return title.split(":", 1)[0].strip().lower() not in NAMESPACES if ":" in title else True
 
@@ -100,7 +122,7 @@ def entries(text: str | None) -> list[dict]:
         elif table and line.startswith("!"):
             header += [plain(c.split("|")[-1]) for c in re.split(r"!!", line[1:])]
         elif table and line.startswith("|"):
-            row = (row or []) + [c.strip() for c in re.split(r"\|\|", line[1:])]
+            row = (row or []) + [cell(c) for c in cells_of(line[1:])]
         elif line.startswith("*"):
             depth = len(line) - len(line.lstrip("*"))
             body = line[depth:].strip()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.geo import haversine_km, usable
+from vitrine.functions.html import is_navigation
 from vitrine.functions.rules import canonical_country, country_in_description
 from vitrine.functions.text import compact_key, known_country, usable_url
 
@@ -73,6 +74,19 @@ def duplicates(museums: DataFrame) -> DataFrame:
     return g.select(F.lit("duplicate-record").alias("check"), F.lit("warning").alias("severity"), F.col("key").alias("subject"))
 
 
+def duplicate_groups(museums: DataFrame) -> DataFrame:
+    """(key, rows, names) of the groups ``duplicates`` tells of; names distinct, sorted and joined."""
+    k = F.concat(compact_key(F.col("name")), F.lit("|"), compact_key(known_country(F.col("country"))))
+    g = museums.select(k.alias("key"), "name").filter("key IS NOT NULL AND key NOT LIKE '|%'").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("name")).alias("names"))
+    return g.filter("rows > 1").select("key", "rows", F.array_join("names", " / ").alias("names"))
+
+
+def navigation_listings(exhibitions: DataFrame) -> DataFrame:
+    """(exhibition_id): listings whose link only leads around the page it was read from; permanent ones are left alone."""
+    e = exhibitions.filter("url IS NOT NULL AND NOT coalesce(permanent, false)")
+    return e.filter(is_navigation(F.col("url"), F.coalesce("source_page", F.lit("")))).select("exhibition_id").distinct()
+
+
 def outliers(museums: DataFrame, least: int = 30) -> DataFrame:
     """Rows farther from their country's per-axis upper median than twice the lower-rank 99th percentile, 500 km at least.
 
@@ -116,6 +130,27 @@ def report(findings: DataFrame) -> DataFrame:
     return findings.groupBy("check", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
+# Severities from light to heavy.
+SEVERITIES = ("info", "warning", "error")
+
+
+def at_least(findings: DataFrame, severity: str, check: str = "") -> DataFrame:
+    """Findings of a severity or a heavier one, of one check or all."""
+    hit = findings.filter(F.col("severity").isin(*SEVERITIES[SEVERITIES.index(severity) :]))
+    return hit.filter(F.col("check") == check) if check else hit
+
+
+def exit_status(findings: DataFrame, fail_on: str) -> int:
+    """1 if there is a finding of ``fail_on`` or heavier."""
+    return int(not at_least(findings, fail_on).isEmpty())
+
+
+def shares(findings: DataFrame, exhibitions: DataFrame) -> DataFrame:
+    """``report`` with the share of all listings in percent."""
+    total = exhibitions.agg(F.count_distinct("exhibition_id").alias("total"))  # one row
+    return report(findings).crossJoin(F.broadcast(total)).select("check", "severity", "findings", F.round(F.lit(100.0) * F.col("findings") / F.nullif("total", F.lit(0)), 3).alias("share"))
+
+
 def samples(findings: DataFrame, n: int = 5) -> DataFrame:
     """The first n findings of each check, by subject."""
     w = Window.partitionBy("check").orderBy("subject")

@@ -26,26 +26,31 @@ def as_catalogue(source_records: DataFrame) -> DataFrame:
         F.col("record_id").alias("id"), "wikidata_id", "name", fold(F.col("name")).alias("normalized"), known_country(F.col("country")).alias("country"), "locality",
         F.lit(None).cast("string").alias("description"), "website", F.col("other_names").alias("aliases"), F.array("source").alias("sources"),
         F.array().cast("array<string>").alias("classes"), F.lit(False).alias("verified"), "location", F.lit(0).alias("sitelinks"),
+        F.element_at("tags", "addr:street").alias("street"), F.element_at("tags", "addr:postcode").alias("postcode"), F.lit(None).cast("string").alias("wikipedia_url"),
+        F.lit(None).cast("string").alias("source_page"), F.lit(None).cast("int").alias("page_id"), F.col("fetched_at").alias("updated_at"),
     )
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row per identity; each column follows its own policy.
 
-    Incoming rows come after existing ones, in order of id. Names are replaced, other texts only by filled ones, lists
-    united, flags or-ed, prominence is the greatest. One shuffle on the identity, pre-aggregated.
+    Incoming rows come after existing ones, in order of id. Names are replaced, other texts only by filled ones, page ids
+    only by real ones, lists united, flags or-ed, prominence and time are the greatest; ``search_text`` is what the row
+    answers to then. One shuffle on the identity, pre-aggregated.
     """
-    columns = ["id", "wikidata_id", "name", "normalized", "country", "locality", "description", "website", "aliases", "sources", "classes", "verified", "location", "sitelinks"]
+    texts = ["wikidata_id", "country", "locality", "description", "website", "street", "postcode", "wikipedia_url", "source_page"]
+    columns = [*texts[5:], "page_id", "updated_at", "id", "wikidata_id", "name", "normalized", "country", "locality", "description", "website", "aliases", "sources", "classes", "verified", "location", "sitelinks"]
     both = existing.select(*columns, F.lit(0).alias("side")).unionByName(incoming.select(*columns, F.lit(1).alias("side")))
     both = both.withColumn("country", known_country(F.col("country"))).withColumn("identity", identity(F.col("wikidata_id"), F.col("normalized"), F.col("country"))).withColumn("ord", F.struct("side", "id"))
     spot = usable(F.col("location.lat"), F.col("location.lon"))
-    return both.filter("identity IS NOT NULL").groupBy("identity").agg(
+    out = both.filter("identity IS NOT NULL").groupBy("identity").agg(
         F.max_by("name", "ord").alias("name"), F.max_by("normalized", "ord").alias("normalized"),
-        *(newest_filled(F.col(c)).alias(c) for c in ("wikidata_id", "country", "locality", "description", "website")),
+        *(newest_filled(F.col(c)).alias(c) for c in texts), F.max_by("page_id", F.when(F.col("page_id") > 0, F.col("ord"))).alias("page_id"), F.max("updated_at").alias("updated_at"),
         F.max_by(F.col("location"), F.when(spot, F.col("ord"))).alias("location"),
         *(union_of(F.col(c)).alias(c) for c in ("aliases", "sources", "classes")),
         F.bool_or(F.coalesce("verified", F.lit(False))).alias("verified"), F.max("sitelinks").alias("sitelinks"),
     )
+    return out.withColumn("search_text", fold(F.concat_ws(" ", "name", F.array_join("aliases", " "), "locality")))
 
 
 def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,6 +215,35 @@ def entities(rows: DataFrame, rounds: int = 30) -> DataFrame:
     return own.join(first, "entity").select(F.col("id").alias("node"), "label")
 
 
+def merged_entities(rows: DataFrame, authority: str = "wikidata") -> DataFrame:
+    """One row for each entity, under its smallest id: the first filled text in order of id, the country of the authority
+    before that of others, the first usable position, the greatest prominence, lists united, and every name that isn't
+    the kept one an alias. Rows of a hot entity are folded before they move.
+    """
+    m = rows.join(entities(rows).withColumnRenamed("node", "id"), "id")
+    filled_first = lambda c, order="id": F.min_by(c, F.when(c.isNotNull() & (c != ""), F.col(order) if isinstance(order, str) else order))
+    ranked = F.struct((~F.coalesce(F.array_contains("sources", authority), F.lit(False))).alias("other"), "id")
+    called = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    out = m.groupBy("label").agg(
+        *(filled_first(F.col(c)).alias(c) for c in ("wikidata_id", "name", "locality", "description", "website")), filled_first(known_country(F.col("country")), ranked).alias("country"),
+        F.min_by("location", F.when(usable(F.col("location.lat"), F.col("location.lon")), F.col("id"))).alias("location"), union_of(called).alias("called"), union_of(F.col("sources")).alias("sources"), union_of(F.col("classes")).alias("classes"),
+        F.max("sitelinks").alias("sitelinks"), F.bool_or(F.coalesce("verified", F.lit(False))).alias("verified"),
+    )
+    return out.withColumn("aliases", F.filter("called", lambda x: F.col("name").isNull() | (x != F.col("name")))).withColumnRenamed("label", "id").drop("called")
+
+
+def settled(rows: DataFrame, merges, rounds: int = 5) -> DataFrame:
+    """Rows after merging again and again until ``merges`` (rows to victim and keeper pairs) finds none; raises if it doesn't end."""
+    for _ in range(rounds):
+        pairs = cut(merges(rows))
+        if pairs.isEmpty():
+            return rows
+        folded = apply_merges(rows, pairs)
+        rest = [c for c in rows.columns if c not in folded.columns]
+        rows = cut(folded.join(rows.select("id", *rest), "id").select(*rows.columns))
+    raise RuntimeError("the merges haven't settled")
+
+
 def apply_merges(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows with victims folded into keepers by the upsert policy; every victim's facts are kept."""
     keyed = rows.join(pairs.select(F.col("victim").alias("id"), "keeper"), "id", "left").withColumn("to", F.coalesce("keeper", "id")).withColumn("ord", F.struct((F.col("to") == F.col("id")).alias("own"), (-F.col("id")).alias("i")))

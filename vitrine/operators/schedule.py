@@ -54,6 +54,12 @@ def latest(site_scrapes: DataFrame) -> DataFrame:
     return site_scrapes.filter("site IS NOT NULL").groupBy("site").agg(F.max_by(state, order).alias("s")).select("site", "s.*")
 
 
+def due_by_prominence(states: DataFrame, targets: DataFrame, now: datetime) -> DataFrame:
+    """``due`` with the site's most prominent museum: never read ones first, then the longest due, then the best known."""
+    d = due(states, now).join(targets.groupBy("site").agg(F.max("sitelinks").alias("sitelinks")), "site", "left")
+    return d.orderBy(F.desc("never"), "due_us", F.desc_nulls_last("sitelinks"), "site")
+
+
 def due(states: DataFrame, now: datetime) -> DataFrame:
     """Sites to read: not parked and due; never read ones first, then the longest due."""
     hit = states.filter("parked_reason IS NULL").filter(F.coalesce(F.col("next_due_at") <= F.lit(now), F.lit(True)))

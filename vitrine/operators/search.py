@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,13 @@ def in_box(museums: DataFrame, south: float, west: float, north: float, east: fl
     return placed(museums).filter(F.col("lat").between(south, north) & lon).orderBy(F.desc("sitelinks"), "id").limit(limit).select("id", "lat", "lon")
 
 
+def box_points(museums: DataFrame, south: float, west: float, north: float, east: float, limit: int = 40_000) -> tuple[DataFrame, bool]:
+    """(points, truncated): [id, lat, lon] triples of a box, and whether there were more than ``limit``. One row more is asked for."""
+    south, north = max(-90.0, min(south, north)), min(90.0, max(south, north))
+    some = in_box(museums, south, west, north, east, limit + 1).cache()
+    return some.limit(limit).select(F.array(F.col("id").cast("double"), "lat", "lon").alias("point")), some.count() > limit
+
+
 def museum_score(q: str, name: Column, aliases: Column, town: Column, sitelinks: Column, located: Column, sim: Column, part: Column) -> Column:
     """Match class, similarities, town, prominence and placement in one number. ``q`` is folded."""
     g = F.lit(q)
@@ -49,15 +56,26 @@ def museum_score(q: str, name: Column, aliases: Column, town: Column, sitelinks:
     return kind + 0.7 * sim + 0.3 * part + F.when(in_query, 0.4).otherwise(0.0) + known + F.when(located, 0.01).otherwise(0.0)
 
 
+def search_text(name: Column, aliases: Column, town: Column) -> Column:
+    """All a row answers to, folded: its name, its distinct aliases in order, its town."""
+    return F.trim(F.concat_ws(" ", name, F.array_join(F.array_sort(F.array_distinct(F.coalesce(aliases, F.array().cast("array<string>")))), " "), town))
+
+
 def search_museums(museums: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Best names for a query, misspelt or not.
 
-    The tests (similar, holding a similar stretch, prefix, equal alias) choose the candidates; only they are scored.
+    The tests (name similar, a similar stretch in it, prefix, equal alias, all the row's names and its town together
+    similar) choose the candidates; only they are scored. Each similarity needs that share of the query's trigrams at
+    least, so rows with fewer are dropped by built-in set operations, before the stretches are looked at in Arrow batches.
     """
     q = museums.sparkSession.range(1).select(fold(F.lit(query)).alias("q")).first()["q"]
     m = museums.select("id", "name", fold(F.col("name")).alias("n"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), fold).alias("al"), fold(F.col("locality")).alias("town"), "sitelinks", usable(F.col("location.lat"), F.col("location.lon")).alias("located"))
-    m = m.withColumn("s", both_similarities(q, F.col("n")))
-    cand = m.filter((F.col("s.sim") >= 0.3) | (F.col("s.part") >= 0.55) | F.col("n").startswith(q) | F.array_contains("al", q))
+    m = m.withColumn("st", search_text(F.col("n"), F.col("al"), F.col("town")))
+    asked = trigrams(F.lit(q))
+    shared = F.size(F.array_intersect(trigrams(F.col("st")), asked)) >= F.ceil(0.3 * F.size(asked) - 1e-9)
+    m = m.filter(shared | F.col("n").startswith(q) | F.array_contains("al", q))
+    m = m.withColumn("s", both_similarities(q, F.col("n"))).withColumn("whole", similarity(trigrams(F.col("st")), asked))
+    cand = m.filter((F.col("s.sim") >= 0.3) | (F.col("s.part") >= 0.55) | F.col("n").startswith(q) | F.array_contains("al", q) | (F.col("whole") >= 0.3))
     score = museum_score(q, F.col("n"), F.col("al"), F.col("town"), F.col("sitelinks"), F.col("located"), F.col("s.sim"), F.col("s.part"))
     return cand.withColumn("score", F.round(score, 4)).orderBy(F.desc("score"), F.length("n"), "name", "id").limit(limit).select("id", "name", "score")
 
@@ -89,6 +107,18 @@ def exhibitions_near(exhibitions: DataFrame, lat: float, lon: float, km: float,
     return hit.orderBy(F.asc_nulls_last("ends_on"), "distance_km", "exhibition_id")
 
 
+def time_window(name: str, today: date) -> tuple[date, date]:
+    """First and last day of "now", "weekend" (the coming or running one) or "month" (30 days)."""
+    if name == "now":
+        return today, today
+    if name == "weekend":
+        first = today + timedelta(days=max(0, 5 - today.weekday()))
+        return first, today + timedelta(days=6 - today.weekday())
+    if name == "month":
+        return today, today + timedelta(days=30)
+    raise ValueError("no such window")
+
+
 def between_days(exhibitions: DataFrame, first: date, last: date) -> DataFrame:
     """Shows that overlap a span of days; permanent ones always do."""
     over = (F.col("starts_on").isNull() | (F.col("starts_on") <= F.lit(last))) & (F.col("ends_on").isNull() | (F.col("ends_on") >= F.lit(first)))

@@ -62,6 +62,13 @@ def set_locations(museums: DataFrame, found: DataFrame) -> DataFrame:
     return museums.join(f, "id", "left").withColumns({"location": F.coalesce("_l", "location"), "location_approximate": F.coalesce("_a", "location_approximate")}).drop("_l", "_a")
 
 
+def mark_areas(read: DataFrame, cells: DataFrame, now: datetime, keep_hours: int = 24) -> DataFrame:
+    """(cell, scraped_at) after reading ``cells`` at ``now``: each at its newest reading, those that no longer cool off dropped."""
+    both = read.select("cell", "scraped_at").unionByName(cells.select("cell", F.lit(now).alias("scraped_at")))
+    newest = both.groupBy("cell").agg(F.max("scraped_at").alias("scraped_at"))
+    return newest.filter(F.col("scraped_at") >= F.lit(now) - F.make_dt_interval(F.lit(0), F.lit(keep_hours)))
+
+
 def area_queue(requests: DataFrame, cooling: DataFrame, targets: DataFrame, now: datetime, hours: int = 24, per_area: int = 120) -> DataFrame:
     """Sites to read for requested points, areas in turn: (turn, cell, site).
 

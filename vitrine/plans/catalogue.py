@@ -7,6 +7,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import functions as F
 
 from vitrine.functions import fuzzy, geo
+from vitrine.functions.html import VIEWS_AND_CONTAINERS
 from vitrine.functions import text as tx
 from vitrine.operators import quality, resolve, schedule, search
 from vitrine.session import table
@@ -45,7 +46,7 @@ def _site():
 
 def _upsert(s, d):
     out = resolve.upsert(_normal(table(s, d, "museums")), resolve.as_catalogue(table(s, d, "source_records")))
-    return out.select("identity", "name", "wikidata_id", "country", "locality", "website", F.array_join("aliases", "|").alias("aliases"), F.array_join("sources", "|").alias("sources"), "verified", "sitelinks", F.col("location.lat").alias("lat"))
+    return out.select("identity", "name", "wikidata_id", "country", "locality", "website", F.array_join("aliases", "|").alias("aliases"), F.array_join("sources", "|").alias("sources"), "verified", "sitelinks", F.col("location.lat").alias("lat"), "street", "postcode", "wikipedia_url", "page_id", F.unix_micros("updated_at").alias("updated_us"), "search_text")
 
 
 def _merged(s, d):
@@ -102,6 +103,10 @@ QUERIES = {
     "exhibition_merges": lambda s, d: resolve.exhibition_merges(table(s, d, "exhibitions")),
     "town_placements": lambda s, d: resolve.town_placements(table(s, d, "museums")).select("id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), "tier"),
     "entities": _entities,
+    "entity_rows": lambda s, d: resolve.merged_entities(table(s, d, "museums")).select("id", "name", "country", "locality", "website", F.array_join("aliases", "|").alias("aliases"), F.array_join("sources", "|").alias("sources"), "sitelinks", "verified"),
+    "duplicate_groups": lambda s, d: quality.duplicate_groups(table(s, d, "museums")),
+    "report_shares": lambda s, d: quality.shares(quality.audit_exhibitions(table(s, d, "exhibitions"), TODAY), table(s, d, "exhibitions")),
+    "navigation_listings": lambda s, d: quality.navigation_listings(table(s, d, "exhibitions")),
     "enriched_fold": _enriched,
     "audit_museums": lambda s, d: quality.audit_museums(table(s, d, "museums"), _countries(s, d)),
     "audit_report": lambda s, d: quality.report(quality.audit_museums(table(s, d, "museums"), _countries(s, d)).unionByName(quality.audit_exhibitions(table(s, d, "exhibitions"), TODAY))),
@@ -188,8 +193,8 @@ UNION ALL SELECT 'coordinates-far-from-country', 'warning', CAST(id AS VARCHAR)
 """
 _CAT = f"""
 b AS (
-  SELECT id, wikidata_id, name, {_fold('name')} AS normalized, {_KNOWN} AS country, locality, website, aliases, sources, verified, location, sitelinks, 0 AS side FROM museums
-  UNION ALL SELECT record_id, wikidata_id, name, {_fold('name')}, {_KNOWN}, locality, website, other_names, [source], false, location, 0, 1 FROM source_records),
+  SELECT id, wikidata_id, name, {_fold('name')} AS normalized, {_KNOWN} AS country, locality, website, aliases, sources, verified, location, sitelinks, 0 AS side, street, postcode, wikipedia_url, page_id, updated_at FROM museums
+  UNION ALL SELECT record_id, wikidata_id, name, {_fold('name')}, {_KNOWN}, locality, website, other_names, [source], false, location, 0, 1, tags['addr:street'], tags['addr:postcode'], NULL, NULL, fetched_at FROM source_records),
 u AS (SELECT *, coalesce(nullif(wikidata_id, ''), normalized || '|' || coalesce(country, '')) AS identity, side * 1000000000000 + id AS ord FROM b)
 """
 
@@ -221,13 +226,14 @@ SQL = {
     "search_museums": f"""
 WITH q AS (SELECT 'musem of glas sosozaicombe' AS q), g AS (SELECT q, list_distinct({_grams('q')}) AS qt FROM q),
 n AS (SELECT id, name, {_fold('name')} AS n, list_transform(aliases, lambda a: {_fold('a')}) AS al, {_fold('locality')} AS town, sitelinks, {_ok()} AS located FROM museums),
-t AS (SELECT n.*, q, qt, {_grams('n')} AS ot, list_distinct({_grams('n')}) AS gt FROM n, g),
-w AS (SELECT *, {_sim('gt', 'qt')} AS sim, coalesce(list_max(flatten(list_transform(list_filter(range(1, len(ot) + 1), lambda i: list_contains(qt, ot[i])),
+v AS (SELECT n.*, trim(concat_ws(' ', n, array_to_string(list_sort(list_distinct(al)), ' '), town)) AS st FROM n),
+t AS (SELECT v.*, q, qt, {_grams('n')} AS ot, list_distinct({_grams('n')}) AS gt, list_distinct({_grams('st')}) AS sg FROM v, g),
+w AS (SELECT *, {_sim('gt', 'qt')} AS sim, {_sim('sg', 'qt')} AS whole, coalesce(list_max(flatten(list_transform(list_filter(range(1, len(ot) + 1), lambda i: list_contains(qt, ot[i])),
   lambda i: list_transform(list_filter(range(i, len(ot) + 1), lambda j: list_contains(qt, ot[j])), lambda j: {_sim('qt', 'list_distinct(ot[i:j])')})))), 0.0) AS ws FROM t)
 SELECT id, name, round(CASE WHEN n = q THEN 3.0 WHEN list_contains(al, q) THEN 2.5 WHEN starts_with(n, q) THEN 1.5 WHEN contains(n, q) THEN 0.75 ELSE 0.0 END
   + 0.7 * sim + 0.3 * ws + CASE WHEN length(town) >= 4 AND contains(' ' || q || ' ', ' ' || town || ' ') THEN 0.4 ELSE 0.0 END
   + 0.2 * ln(1 + greatest(coalesce(sitelinks, 0), 0)) + CASE WHEN located THEN 0.01 ELSE 0.0 END, 4) AS score
-FROM w WHERE sim >= 0.3 OR starts_with(n, q) OR list_contains(al, q) OR ws >= 0.55
+FROM w WHERE sim >= 0.3 OR starts_with(n, q) OR list_contains(al, q) OR ws >= 0.55 OR whole >= 0.3
 ORDER BY score DESC, length(n), name, id LIMIT 50""",
     "search_exhibitions": f"""
 WITH q AS (SELECT 'permanent colection' AS q), e AS (SELECT DISTINCT exhibition_id, title, museum, ends_on, lower(title) AS t, q FROM exhibitions, q WHERE ends_on IS NULL OR ends_on >= DATE '{TODAY}'),
@@ -267,7 +273,10 @@ SELECT identity, arg_max(name, ord) AS name, arg_max(wikidata_id, ord) FILTER (W
   arg_max(locality, ord) FILTER (WHERE locality <> '') AS locality, arg_max(website, ord) FILTER (WHERE website <> '') AS website,
   array_to_string(list_sort(list_distinct(list_filter(flatten(list(aliases)), lambda x: x <> ''))), '|') AS aliases,
   array_to_string(list_sort(list_distinct(list_filter(flatten(list(sources)), lambda x: x <> ''))), '|') AS sources,
-  bool_or(verified) AS verified, max(sitelinks) AS sitelinks, arg_max(location.lat, ord) FILTER (WHERE {_ok()}) AS lat
+  bool_or(verified) AS verified, max(sitelinks) AS sitelinks, arg_max(location.lat, ord) FILTER (WHERE {_ok()}) AS lat,
+  arg_max(street, ord) FILTER (WHERE street <> '') AS street, arg_max(postcode, ord) FILTER (WHERE postcode <> '') AS postcode, arg_max(wikipedia_url, ord) FILTER (WHERE wikipedia_url <> '') AS wikipedia_url,
+  arg_max(page_id, ord) FILTER (WHERE page_id > 0) AS page_id, epoch_us(max(updated_at)) AS updated_us,
+  {_fold("concat_ws(' ', arg_max(name, ord), array_to_string(list_sort(list_distinct(list_filter(flatten(list(aliases)), lambda x: x <> ''))), ' '), arg_max(locality, ord) FILTER (WHERE locality <> ''))")} AS search_text
 FROM u WHERE identity IS NOT NULL GROUP BY identity""",
     "promote_ids": f"""
 WITH {_CAT}, n AS (SELECT normalized, country, min(wikidata_id) AS wikidata_id FROM u WHERE side = 1 AND wikidata_id <> '' AND normalized <> '' GROUP BY 1, 2),
@@ -311,6 +320,22 @@ one AS (SELECT id, clat, clon, 1 AS tier FROM m JOIN g1 ON g1.country = m.countr
 SELECT id, round(clat, 8) AS lat, round(clon, 8) AS lon, tier FROM (SELECT * FROM one
   UNION ALL SELECT m.id, g2.clat, g2.clon, 2 FROM m JOIN g2 ON g2.country = m.country AND g2.head = m.head WHERE m.lat IS NULL AND length(m.head) >= 4 AND m.id NOT IN (SELECT id FROM one)) z""",
     "entities": _ENTITIES,
+    "entity_rows": f"""
+WITH e AS ({_ENTITIES}), m AS (SELECT museums.*, label, {_KNOWN} AS kc, CASE WHEN list_contains(sources, 'wikidata') THEN 0 ELSE 1000000000000 END + id AS co FROM museums JOIN e ON node = id),
+g AS (SELECT label, arg_min(name, id) FILTER (WHERE name <> '') AS name, arg_min(kc, co) FILTER (WHERE kc <> '') AS country, arg_min(locality, id) FILTER (WHERE locality <> '') AS locality, arg_min(website, id) FILTER (WHERE website <> '') AS website,
+  list_sort(list_distinct(list_filter(flatten(list(list_concat([name], aliases))), lambda x: x <> ''))) AS called, array_to_string(list_sort(list_distinct(list_filter(flatten(list(sources)), lambda x: x <> ''))), '|') AS sources,
+  max(sitelinks) AS sitelinks, bool_or(coalesce(verified, false)) AS verified FROM m GROUP BY label)
+SELECT label AS id, name, country, locality, website, array_to_string(list_filter(called, lambda x: name IS NULL OR x <> name), '|') AS aliases, sources, sitelinks, verified FROM g""",
+    "duplicate_groups": f"""
+WITH k AS (SELECT name, {_KEY.format(x='name')} || '|' || {_KEY.format(x=_KNOWN)} AS key FROM museums)
+SELECT key, count(*) AS rows, array_to_string(list_sort(list_distinct(list(name))), ' / ') AS names FROM k WHERE key IS NOT NULL AND key NOT LIKE '|%' GROUP BY key HAVING count(*) > 1""",
+    "report_shares": f'SELECT "check", severity, count(*) AS findings, round(100.0 * count(*) / (SELECT count(DISTINCT exhibition_id) FROM exhibitions), 3) AS share FROM ({_AUDIT_E}) f GROUP BY 1, 2',
+    "navigation_listings": """
+WITH e AS (SELECT DISTINCT exhibition_id, regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '/+$', '') AS u, regexp_replace(regexp_replace(lower(source_page), '[?#].*$', ''), '/+$', '') AS p FROM exhibitions WHERE url IS NOT NULL AND NOT coalesce(permanent, false)),
+s AS (SELECT exhibition_id, u, p, list_filter(string_split(regexp_replace(u, '^https?://[^/]+', ''), '/'), lambda x: x <> '') AS parts FROM e)
+SELECT DISTINCT exhibition_id FROM s WHERE coalesce(u = p, false) OR len(list_filter(parts, lambda x: NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ("""
+    + ", ".join(f"'{x}'" for x in VIEWS_AND_CONTAINERS)
+    + """))) = 0""",
     "enriched_fold": """
 SELECT coalesce(e.record_id, m.id) AS id, CASE WHEN e.record_id IS NULL THEN m.name ELSE e.name END AS name,
   CASE WHEN e.record_id IS NULL THEN m.website ELSE coalesce(nullif(e.website, ''), m.website) END AS website,
