@@ -127,7 +127,7 @@ def map_values(values: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(vid, options array<struct<entry_id, country, lat, lon>>): the entries of least cost for each value.
 
     ``values``: vid, field, raw. A value is tried whole and without a country after it (behind a comma or dash,
-    in any spelling, or as its last one to four words, spelt rightly). Towns come before countries, a town of the
+    in any spelling, or as its last words, spelt rightly). Towns come before countries, a town of the
     country named before others.
     """
     refs = cut(references(gazetteer))
@@ -135,7 +135,9 @@ def map_values(values: DataFrame, gazetteer: DataFrame) -> DataFrame:
     base = values.withColumn("s", _strip(F.col("raw"))).filter("s <> ''")
     whole = base.select("vid", "field", _key(F.col("s")).alias("key"), F.lit("").alias("tail"))
     marked = base.filter(F.col("s").rlike(_MARK)).select("vid", "field", F.regexp_extract("s", _MARK, 1).alias("core"), F.regexp_extract("s", _MARK, 2).alias("tail"))
-    w = base.filter("field <> 'country'").select("vid", "field", F.split("s", " ").alias("w")).select("vid", "field", "w", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).filter("size(w) > i")
+    # a tail that is a country's name has no more words than the longest one has letters
+    most = refs.filter("kind = 'country'").agg(F.max(F.length("key"))).collect()[0][0] or 1
+    w = base.filter("field <> 'country'").select("vid", "field", F.split("s", " ").alias("w")).filter("size(w) > 1").select("vid", "field", "w", F.explode(F.sequence(F.lit(1), F.least(F.size("w") - 1, F.lit(most)))).alias("i"))
     last = w.select("vid", "field", F.expr("array_join(slice(w, 1, size(w) - i), ' ')").alias("core"), F.expr("array_join(slice(w, size(w) - i + 1, i), ' ')").alias("tail"))
     known = refs.filter("kind = 'country'").select(F.col("key").alias("tail"), F.col("country").alias("tail_country")).distinct()
     tailed = lambda d: d.select("vid", "field", "core", _key(F.col("tail")).alias("tail")).filter("tail <> ''")
