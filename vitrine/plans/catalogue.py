@@ -258,6 +258,22 @@ WITH t AS (SELECT country, {_fold('locality')} AS town, lat, lon FROM ({_P}) p W
 c AS (SELECT country, town, count(*) AS members, avg(lat) AS clat, avg(lon) AS clon FROM m GROUP BY 1, 2)
 SELECT c.country, c.town, any_value(members) AS members, round(any_value(clat), 8) AS clat, round(any_value(clon), 8) AS clon, round(max({_km('lat', 'lon', 'clat', 'clon')}), 3) AS spread_km
 FROM m JOIN c ON c.country = m.country AND c.town = m.town GROUP BY 1, 2""",
+    "locality_place": f"""
+WITH q0 AS (SELECT {_fold("'Sibingen Germany'")} AS q),
+t AS (SELECT country, {_fold('locality')} AS town, lat, lon FROM ({_P}) p WHERE country IS NOT NULL), m AS (SELECT * FROM t WHERE town <> ''),
+o AS (SELECT country, town, count(*) AS members, avg(lat) AS clat, avg(lon) AS clon FROM m GROUP BY 1, 2),
+w AS (SELECT o.*, {_fold('o.country')} AS c, max({_km('lat', 'lon', 'clat', 'clon')}) AS spread FROM m JOIN o ON o.country = m.country AND o.town = m.town GROUP BY ALL),
+n AS (SELECT DISTINCT c FROM w, q0 WHERE contains(' ' || q || ' ', ' ' || c || ' ') ORDER BY length(c) DESC, c LIMIT 1),
+q AS (SELECT trim(regexp_replace(replace(' ' || q || ' ', ' ' || coalesce((SELECT c FROM n), chr(0)) || ' ', ' '), ' +', ' ', 'g')) AS q FROM q0),
+s AS (SELECT w.*, greatest({_sim(f"list_distinct({_grams("string_split(town, ' ')[1]")})", f"list_distinct({_grams("string_split(q, ' ')[1]")})")}, {_sim(f"list_distinct({_grams('town')})", f"list_distinct({_grams('q')})")}) AS score FROM w, q WHERE c = (SELECT c FROM n) OR NOT EXISTS (SELECT 1 FROM n))
+SELECT country, town, members, round(score, 4) AS score, round(clat, 5) AS lat, round(clon, 5) AS lon, round(greatest(2.0, least(25.0, spread)), 3) AS radius_km FROM s WHERE score >= 0.45 ORDER BY s.score DESC, members DESC, country, town LIMIT 1""",
+    "request_budget": """
+WITH e AS (SELECT user_id AS client, list({'t': CAST(epoch(CAST(ts AS TIMESTAMP)) AS BIGINT)::DOUBLE, 'k': 0.0::DOUBLE, 'ok': 0::BIGINT, 'bad': 0::BIGINT} ORDER BY ts) AS l FROM events GROUP BY 1),
+r AS (SELECT client, list_reduce(l, lambda a, x: {'t': x.t,
+  'k': CASE WHEN least(3.0, a.k + CASE WHEN a.t < 0 THEN 0.0 ELSE (x.t - a.t) / 3600 END) >= 1 THEN least(3.0, a.k + CASE WHEN a.t < 0 THEN 0.0 ELSE (x.t - a.t) / 3600 END) - 1 ELSE least(3.0, a.k + CASE WHEN a.t < 0 THEN 0.0 ELSE (x.t - a.t) / 3600 END) END,
+  'ok': a.ok + CASE WHEN least(3.0, a.k + CASE WHEN a.t < 0 THEN 0.0 ELSE (x.t - a.t) / 3600 END) >= 1 THEN 1 ELSE 0 END,
+  'bad': a.bad + CASE WHEN least(3.0, a.k + CASE WHEN a.t < 0 THEN 0.0 ELSE (x.t - a.t) / 3600 END) >= 1 THEN 0 ELSE 1 END}, {'t': -1.0::DOUBLE, 'k': 3.0::DOUBLE, 'ok': 0::BIGINT, 'bad': 0::BIGINT}) AS s FROM e)
+SELECT client, s.ok AS allowed, s.bad AS refused FROM r""",
     "site_targets": f"""
 SELECT site, id, name FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY coalesce(sitelinks, 0) DESC, id) AS rn FROM (SELECT id, name, sitelinks, {_HOST} AS site FROM ({_P}) p) x WHERE site IS NOT NULL) WHERE rn = 1""",
     "text_keys": f"""
