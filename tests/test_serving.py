@@ -201,3 +201,17 @@ def test_labels_addresses_areas_and_cells(spark):
     assert [r.site for r in schedule.due_by_prominence(s, spark.createDataFrame([("b", 9), ("a", 2)], "site string, sitelinks int"), NOW).collect()] == ["c", "b", "a"]
     got = html.declared(['{"@type": "Event", "name": "Glass", "url": "/exhibitions/glass", "startDate": "2026-05-01T10:00"}', '{"@type": "Event", "name": "Talk", "url": "/events/talk"}', "{broken"], "https://m.example/")
     assert [(g["title"], g["start"]) for g in got] == [("Glass", "2026-05-01")]
+
+
+def test_many_radius_queries_equal_one_by_one(spark):
+    import random
+
+    rnd = random.Random(4)
+    at = lambda: (rnd.choice([rnd.uniform(-90, 90), rnd.uniform(50, 50.5), rnd.uniform(88, 90)]), rnd.choice([rnd.uniform(-180, 180), rnd.uniform(4, 4.5), rnd.uniform(179.9, 180), rnd.uniform(-180, -179.9)]))
+    m = spark.createDataFrame([(i, at()) for i in range(800)] + [(900, None), (901, (0.0, 0.0))], "id bigint, location struct<lat: double, lon: double>")
+    p = spark.createDataFrame([(i, *at()) for i in range(60)] + [(70, None, None)], "key bigint, lat double, lon double")
+    d = geo.haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("m.lat"), F.col("m.lon"))
+    for km in (2.0, 60.0):
+        want = p.alias("p").join(search.placed(m).alias("m"), d <= km).select("key", "id")
+        got = search.nearby_many(m, p, km)
+        assert got.select("key", "id").exceptAll(want).isEmpty() and want.exceptAll(got.select("key", "id")).isEmpty() and got.count() == want.count()

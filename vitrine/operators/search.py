@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.fuzzy import both_similarities, similarity, trigrams
+from vitrine.functions.fuzzy import both_similarities, similar_pairs, similarity, trigrams
 from vitrine.functions.geo import haversine_km, usable, within_km
 from vitrine.functions.text import filled, fold
 
@@ -34,6 +34,36 @@ def nearby(museums: DataFrame, lat: float, lon: float, km: float, verified: bool
     return hit.orderBy("distance_km", "id").offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
+def nearby_many(museums: DataFrame, points: DataFrame, km: float) -> DataFrame:
+    """(key, id, distance_km) of the rows within ``km`` of each of many points (key, lat, lon), in one join.
+
+    A point looks into the grid cells its circle may reach (as wide in degrees as its latitude asks for, around the
+    180th meridian too); rows stand in one cell each. Work follows what is near, not points times rows.
+    """
+    size = max(0.01, km / 111.0)
+    row = lambda c: F.floor(F.col(c) / size)
+    turn = int(360 / size) + 1
+    column = lambda c: F.floor((c + 180.0) / size)
+    wide = F.least(F.lit(180.0), F.lit(km / 111.0) / F.greatest(F.cos(F.radians(F.least(F.abs("qlat") + km / 111.0, F.lit(90.0)))), F.lit(1e-6)))
+    q = points.filter(usable(F.col("lat"), F.col("lon"))).select("key", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
+    q = q.withColumn("y", F.explode(F.sequence(row("qlat") - 1, row("qlat") + 1)))
+    west, east = F.col("qlon") - wide, F.col("qlon") + wide
+    # a circle over the meridian looks at both its ends
+    spans = F.array_compact(F.array(F.struct(F.greatest(west, F.lit(-180.0)).alias("w"), F.least(east, F.lit(180.0)).alias("e")), F.when(west < -180, F.struct((west + 360).alias("w"), F.lit(180.0).alias("e"))), F.when(east > 180, F.struct(F.lit(-180.0).alias("w"), (east - 360).alias("e")))))
+    q = q.withColumn("x", F.explode(F.array_distinct(F.flatten(F.transform(spans, lambda p: F.sequence(F.greatest(column(p.w), F.lit(0)), F.least(column(p.e), F.lit(turn))))))))
+    m = placed(museums).select("id", "lat", "lon", row("lat").alias("y"), column(F.col("lon")).alias("x"))
+    d = haversine_km(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
+    return q.join(m, ["y", "x"]).withColumn("distance_km", d).filter(F.col("distance_km") <= km).select("key", "id", "distance_km")
+
+
+def search_many(museums: DataFrame, queries: DataFrame, least: float = 0.5, best: int = 5) -> DataFrame:
+    """(key, rank, id, sim): the most similar names for each of many queries (key, text), by one join over shared trigrams."""
+    names = museums.select(F.col("id").alias("key"), fold(F.col("name")).alias("text")).filter("text <> ''")
+    met = similar_pairs(queries.select("key", fold(F.col("text")).alias("text")).filter("text <> ''"), names, least)
+    rank = F.row_number().over(Window.partitionBy("left_key").orderBy(F.desc("sim"), "right_key"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= best).select(F.col("left_key").alias("key"), "rank", F.col("right_key").alias("id"), "sim")
+
+
 def in_box(museums: DataFrame, south: float, west: float, north: float, east: float, limit: int = 40_000) -> DataFrame:
     """Points in a box, most prominent first."""
     lon = F.col("lon").between(west, east) if west <= east else ~F.col("lon").between(east, west)

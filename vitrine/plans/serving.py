@@ -85,6 +85,8 @@ QUERIES = {
     "item_maps": _items,
     "country_contradictions": lambda s, d: quality.contradictions(table(s, d, "museums"), SPELLINGS),
     "next_reads": _next,
+    "nearby_many": lambda s, d: search.nearby_many(table(s, d, "museums"), table(s, d, "places").select(F.col("place_id").alias("key"), "location.lat", "location.lon"), 2.0).select("key", "id", F.round("distance_km", 4).alias("distance_km")),
+    "search_many": lambda s, d: search.search_many(table(s, d, "museums"), table(s, d, "places").select(F.col("place_id").alias("key"), F.col("query").alias("text"))).select("key", "rank", "id", F.round("sim", 4).alias("sim")),
 }
 
 _SPOT = f"SELECT *, location.lat AS lat, location.lon AS lon FROM {{t}} WHERE {_ok()}"
@@ -160,4 +162,13 @@ u AS (SELECT *, epoch(TIMESTAMPTZ '2026-06-01 00:00:00+00') + floor(wait) * 3600
 p AS (SELECT *, coalesce(n = 0 AND again > epoch(TIMESTAMPTZ '2026-06-01 00:00:00+00') AND again < usual, false) AS pulled FROM u)
 SELECT site, round(iv, 6) AS interval_hours, CAST(n AS BIGINT) AS failures, n >= 6 AS parked, CAST(CASE WHEN pulled THEN again ELSE usual END AS BIGINT) AS due_s,
   CASE WHEN n >= 6 THEN 'parked after ' || n || ' failures' WHEN n > 0 THEN 'failure ' || n WHEN pulled THEN 'a show closes ' || strftime(closes, '%Y-%m-%d') WHEN first THEN 'first read' ELSE outcome END AS reason FROM p""",
+    "nearby_many": f"""
+WITH p AS (SELECT place_id AS key, location.lat AS qlat, location.lon AS qlon FROM places WHERE {_ok()}), m AS ({_SPOT.format(t='museums')})
+SELECT key, id, round({_km('qlat', 'qlon', 'lat', 'lon')}, 4) AS distance_km FROM p, m WHERE abs(qlat - lat) < 0.1 AND {_km('qlat', 'qlon', 'lat', 'lon')} <= 2""",
+    "search_many": f"""
+WITH p AS (SELECT place_id AS key, list_distinct({_grams('f')}) AS a FROM (SELECT place_id, {_fold('query')} AS f FROM places) x WHERE f <> ''), d AS (SELECT DISTINCT a FROM p),
+m AS (SELECT id, list_distinct({_grams('f')}) AS b FROM (SELECT id, {_fold('name')} AS f FROM museums) x WHERE f <> ''), n AS (SELECT DISTINCT b FROM m),
+s AS (SELECT a, b, {_sim('a', 'b')} AS sim FROM d, n WHERE len(a) <= 2 * len(b) AND len(b) <= 2 * len(a) AND {_sim('a', 'b')} >= 0.5),
+r AS (SELECT key, id, sim, row_number() OVER (PARTITION BY key ORDER BY sim DESC, id) AS rank FROM p JOIN s ON s.a = p.a JOIN m ON m.b = s.b)
+SELECT key, rank, id, round(sim, 4) AS sim FROM r WHERE rank <= 5""",
 }
