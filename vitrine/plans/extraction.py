@@ -91,6 +91,11 @@ SELECT url AS href, coalesce(trim(regexp_replace(title, '[\\s\\x{00A0}\\x{1680}\
   CASE WHEN starts_on IS NOT NULL AND ends_on IS NOT NULL THEN CAST(least(starts_on, ends_on) AS VARCHAR) END AS first_day,
   CASE WHEN starts_on IS NOT NULL AND ends_on IS NOT NULL THEN CAST(greatest(starts_on, ends_on) AS VARCHAR) END AS last_day
 FROM (SELECT DISTINCT exhibition_id, url, title, starts_on, ends_on FROM exhibitions WHERE url IS NOT NULL)""",
+    "list_entries": """
+WITH m AS (SELECT id, trim(regexp_replace(name, '[\\[\\]{}|<>''\\s]+', ' ', 'g')) AS t, trim(regexp_replace(locality, '[\\[\\]{}|<>''\\s=]+', ' ', 'g')) AS l FROM museums WHERE name IS NOT NULL AND locality IS NOT NULL),
+s AS (SELECT id, regexp_replace(regexp_replace(t, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', ''), '^[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', '') AS title,
+  trim(regexp_replace(l, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS locality FROM m WHERE t <> '' AND l <> '')
+SELECT id, title, locality FROM s""",
     "catalogue_tree": """
 WITH m AS (SELECT country, locality, sources FROM museums WHERE country IS NOT NULL AND trim(locality) <> ''),
 s AS (SELECT DISTINCT unnest(sources) AS s, country FROM m),
