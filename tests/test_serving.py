@@ -215,3 +215,18 @@ def test_many_radius_queries_equal_one_by_one(spark):
         want = p.alias("p").join(search.placed(m).alias("m"), d <= km).select("key", "id")
         got = search.nearby_many(m, p, km)
         assert got.select("key", "id").exceptAll(want).isEmpty() and want.exceptAll(got.select("key", "id")).isEmpty() and got.count() == want.count()
+
+
+def test_a_catalogue_is_loaded_and_merged(spark):
+    schema = "id bigint, wikidata_id string, name string, normalized string, country string, locality string, description string, website string, aliases array<string>, sources array<string>, classes array<string>, verified boolean, location struct<lat: double, lon: double>, sitelinks int, street string, postcode string, wikipedia_url string, source_page string, page_id int, updated_at timestamp"
+    row = lambda i, w, n, al=(), **k: {**dict.fromkeys(("locality", "description", "website", "street", "postcode", "wikipedia_url", "source_page", "page_id", "location")), "id": i, "wikidata_id": w, "name": n, "normalized": n.lower(), "country": "Spain", "aliases": list(al), "sources": ["x"], "classes": [], "verified": False, "sitelinks": 0, "updated_at": NOW, **k}
+    old = spark.createDataFrame([row(1, "Q1", "Alpha", ["Beta"], page_id=7), row(2, None, "Gamma")], schema)
+    new = spark.createDataFrame([row(3, None, "Alpha", website="w"), row(4, None, "Beta"), row(5, None, "Gamma", street="Main St"), row(6, None, " ")], schema)
+    rows, bad = resolve.load_catalogue(old, new)
+    got = {r.id: r for r in rows.collect()}
+    assert set(got) == {1, 2} and got[1].website == "w" and got[1].page_id == 7 and "Beta" in got[1].aliases and got[2].street == "Main St" and [r.id for r in bad.collect()] == [6]
+
+
+def test_articles_become_venues_once(spark):
+    p = spark.createDataFrame([("A museum", 2, None, "museum in Ath", False, 1.0, 2.0), ("A museum", 1, "Q1", "museum in Ath", False, 1.0, 2.0), ("B", 3, None, "a painter", False, None, None), ("C museum", 4, None, "museum", True, None, None)], "title string, page_id bigint, wikidata_id string, description string, is_disambiguation boolean, lat double, lon double")
+    assert [(r.title, r.page_id) for r in wiki.article_venues(p).collect()] == [("A museum", 1)]

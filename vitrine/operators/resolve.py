@@ -147,6 +147,34 @@ def town_placements(museums: DataFrame, spread_km: float = 50.0) -> DataFrame:
     return one.unionByName(two)
 
 
+def repaired_positions(museums: DataFrame, cache: DataFrame) -> DataFrame:
+    """(id, lat, lon, tier) for rows without a usable position: the geocode cache's answer for their town, else the centre
+    of the town's placed rows (``town_placements``); all approximate. Each town is looked up once, whatever its rows.
+
+    ``cache``: query, found, lat, lon.
+    """
+    at = usable(F.col("location.lat"), F.col("location.lon"))
+    left = museums.filter(~at).select("id", F.lower(F.trim("locality")).alias("query")).filter("query <> ''")
+    known = cache.filter("found").filter(usable(F.col("lat"), F.col("lon"))).groupBy(F.lower(F.trim("query")).alias("query")).agg(F.min(F.struct("lat", "lon")).alias("a"))
+    one = left.join(known, "query").select("id", "a.lat", "a.lon", F.lit(0).alias("tier"))
+    rest = town_placements(museums).join(museums.filter(~at).select("id"), "id", "left_semi").join(one.select("id"), "id", "left_anti")
+    return one.unionByName(rest.select("id", "lat", "lon", "tier"))
+
+
+def load_catalogue(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(catalogue, rejected): valid rows upserted, then merged by name, by alias and by words until nothing merges.
+
+    Ids are the smallest of an identity; rejected rows are returned as they came.
+    """
+    good, bad = quarantine(incoming)
+    ids = existing.select(identity(F.col("wikidata_id"), F.col("normalized"), known_country(F.col("country"))).alias("identity"), "id").unionByName(good.select(identity(F.col("wikidata_id"), F.col("normalized"), known_country(F.col("country"))).alias("identity"), "id"))
+    rows = upsert(existing, good).join(ids.groupBy("identity").agg(F.min("id").alias("id")), "identity")
+    rows = cut(rows)
+    for merges in (same_name_merges, alias_merges, name_variant_merges):
+        rows = settled(rows, merges)
+    return rows, bad
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): connected components of edges (a, b); the label is the smallest node.
 

@@ -149,6 +149,12 @@ def time_window(name: str, today: date) -> tuple[date, date]:
     raise ValueError("no such window")
 
 
+def country_codes(gazetteer: DataFrame) -> DataFrame:
+    """(name, code): each country's code of two capital letters among its other names."""
+    each = gazetteer.filter("kind = 'country'").select("name", F.explode("other_names").alias("code")).filter(F.col("code").rlike("^[A-Z]{2}$"))
+    return each.groupBy("name").agg(F.min("code").alias("code"))
+
+
 def between_days(exhibitions: DataFrame, first: date, last: date) -> DataFrame:
     """Shows that overlap a span of days; permanent ones always do."""
     over = (F.col("starts_on").isNull() | (F.col("starts_on") <= F.lit(last))) & (F.col("ends_on").isNull() | (F.col("ends_on") >= F.lit(first)))

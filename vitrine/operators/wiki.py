@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.functions.rules import classify
 from vitrine.functions.text import filled
 from vitrine.sources.readers import point_of, walk
 
@@ -105,6 +106,16 @@ def restate(museums: DataFrame, details: DataFrame) -> DataFrame:
     )
 
 
+def article_venues(pages: DataFrame) -> DataFrame:
+    """(title, page_id, wikidata_id, description, lat, lon) of pages (``page_metadata``) told to be venues, once a canonical title.
+
+    Only sure ones; of several pages of a title the smallest page id counts.
+    """
+    kind = classify(F.col("title"), F.lit(0), F.col("is_disambiguation"), F.col("description"))
+    sure = pages.withColumn("kind", kind).filter("kind.decision = 'accept'")
+    return sure.groupBy("title").agg(F.min(F.struct("page_id", "wikidata_id", "description", "lat", "lon")).alias("p")).select("title", "p.*")
+
+
 def crawl_counts(visits: DataFrame) -> DataFrame:
     """(source, visited, emitted, rejected, by_reason) of visits (source, decision, reason)."""
     each = visits.groupBy("source", "decision", "reason").agg(F.count(F.lit(1)).alias("n"))

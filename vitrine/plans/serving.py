@@ -7,7 +7,8 @@ from datetime import date, datetime, timezone
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import site_host
-from vitrine.operators import lookup, quality, schedule, search, wiki
+from vitrine.operators import lookup, quality, resolve, schedule, search, wiki
+from vitrine.plans.catalogue import SQL as CATALOGUE_SQL
 from vitrine.plans.catalogue import _HOST, _KNOWN, _LATEST, _fold, _grams, _km, _ok, _sim
 from vitrine.plans.states import SPELLINGS, SPLIT, _canon
 from vitrine.session import table
@@ -85,10 +86,13 @@ QUERIES = {
     "item_maps": _items,
     "country_contradictions": lambda s, d: quality.contradictions(table(s, d, "museums"), SPELLINGS),
     "next_reads": _next,
+    "repaired_positions": lambda s, d: resolve.repaired_positions(table(s, d, "museums"), table(s, d, "places").select("query", "found", "location.lat", "location.lon")).select("id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), "tier"),
+    "country_codes": lambda s, d: search.country_codes(table(s, d, "gazetteer")),
     "nearby_many": lambda s, d: search.nearby_many(table(s, d, "museums"), table(s, d, "places").select(F.col("place_id").alias("key"), "location.lat", "location.lon"), 2.0).select("key", "id", F.round("distance_km", 4).alias("distance_km")),
     "search_many": lambda s, d: search.search_many(table(s, d, "museums"), table(s, d, "places").select(F.col("place_id").alias("key"), F.col("query").alias("text"))).select("key", "rank", "id", F.round("sim", 4).alias("sim")),
 }
 
+_PLACEMENTS = CATALOGUE_SQL["town_placements"]
 _SPOT = f"SELECT *, location.lat AS lat, location.lon AS lon FROM {{t}} WHERE {_ok()}"
 _MATCH = f"""
 WITH m AS (SELECT id, nullif(wikidata_id, '') AS wid, {_fold('name')} AS n FROM museums),
@@ -104,6 +108,14 @@ SELECT site, id, name, round({_km(str(LAT), str(LON), 'lat', 'lon')}, 4) AS dist
     "show_matches": _MATCH + " SELECT id, exhibition_id FROM j",
     "show_counts": _MATCH + " SELECT id, count(DISTINCT exhibition_id) AS shows FROM j GROUP BY id",
     "exhibition_spots": f"SELECT CAST(floor(lat * 10000 + 0.5) AS BIGINT) AS lat4, CAST(floor(lon * 10000 + 0.5) AS BIGINT) AS lon4, count(*) AS rows, count(DISTINCT museum) AS venues FROM ({_SPOT.format(t='exhibitions')}) p GROUP BY 1, 2",
+    "repaired_positions": f"""
+WITH l AS (SELECT id, lower(trim(locality)) AS q FROM museums WHERE NOT {_ok()} AND trim(locality) <> ''),
+k AS (SELECT lower(trim(query)) AS q, min(struct_pack(lat := location.lat, lon := location.lon)) AS a FROM places WHERE found AND {_ok()} GROUP BY 1),
+one AS (SELECT id, a.lat AS lat, a.lon AS lon FROM l JOIN k ON k.q = l.q),
+p AS ({_PLACEMENTS})
+SELECT id, round(lat, 8) AS lat, round(lon, 8) AS lon, 0 AS tier FROM one
+UNION ALL SELECT id, lat, lon, tier FROM p WHERE id IN (SELECT id FROM museums WHERE NOT {_ok()}) AND id NOT IN (SELECT id FROM one)""",
+    "country_codes": "SELECT name, min(code) AS code FROM (SELECT name, unnest(other_names) AS code FROM gazetteer WHERE kind = 'country') x WHERE regexp_matches(code, '^[A-Z]{2}$') GROUP BY name",
     "days_left": f"""
 WITH e AS (SELECT DISTINCT exhibition_id, date_diff('day', DATE '{TODAY}', ends_on) AS n FROM exhibitions)
 SELECT exhibition_id, CASE WHEN n IS NULL THEN 'no end' WHEN n < 0 THEN 'over' WHEN n = 0 THEN 'last day' WHEN n = 1 THEN '1 day left' WHEN n <= 14 THEN n || ' days left'

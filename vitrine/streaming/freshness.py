@@ -65,3 +65,29 @@ def enrich_stream(messages: DataFrame, objects: DataFrame, details: DataFrame, s
         batch.dropDuplicates(["key"]).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return full.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def checkpointed_store(rows: DataFrame, key: str, sink: str, checkpoint: str, every: str | None = None):
+    """Rows of a stream stored as they come: a batch at each trigger (at once to the end if ``every`` is None), each key once
+    a batch, under a path named after the batch, so that a batch run again replaces itself."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    out = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def site_reads(reads: DataFrame, listings: DataFrame, states: DataFrame, closes: DataFrame, now) -> dict[str, DataFrame]:
+    """What a batch of site reads leaves: ``outcomes``, ``plan`` (the next reads), ``touched`` sites and ``retired`` listings.
+
+    ``reads``: site, reached, not_modified, found, fingerprint, began; ``listings``: exhibition_id, site, source, last_seen_at,
+    retired_at. A site that says nothing has changed is touched; only a read that found something retires what it didn't see.
+    """
+    outcomes = S.read_outcomes(reads, states)
+    saved = states.select("site", "interval_hours", F.col("consecutive_failures").alias("failures"))
+    good = reads.join(outcomes.filter("outcome <> 'failed'").select("site"), "site", "left_semi")
+    return {
+        "outcomes": outcomes, "plan": S.next_reads(saved, outcomes.select("site", "outcome"), closes, now), "touched": reads.filter("reached AND not_modified").select("site").distinct(),
+        "retired": S.retire_unseen(listings, good.filter("NOT coalesce(not_modified, false)").select("site", "began", "found")),
+    }
