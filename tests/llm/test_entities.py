@@ -203,6 +203,17 @@ def test_probes_keep_nine_in_ten_at_the_least_cosine_at_every_size(coarse, fine)
     assert met.mean() >= 0.9
 
 
+def test_walks_bring_words_of_one_meaning_together():
+    rnd = random.Random(3)
+    stem = lambda: "".join(rnd.choice("bdgklmnrstvz") + rnd.choice("aeiou") for _ in range(4))
+    kinds = [("verre", "glass"), ("sel", "salt"), ("jouet", "toys"), ("pain", "bread"), ("mine", "mining")]
+    rows = [{"nks": [f"musee {k[0]} {s}", f"{s} {k[1]} museum"], "host": None, "tw": []} for s, k in ((stem(), rnd.choice(kinds)) for _ in range(600))]
+    v = matching.fit_vectors(rows)
+    same = [float(v[a] @ v[b]) for a, b in kinds]
+    other = [float(v[a] @ v[d]) for a, _ in kinds for c, d in kinds if c != a]
+    assert min(same) > max(other) and matching.fit_vectors([]) == {} and matching.fit_vectors([{"nks": [], "host": None, "tw": []}]) == {}
+
+
 def test_wording_mends_typings_and_tells_key_words():
     counts = {"music": 400, "museum": 900, "of": 800, "musiksammlung": 300, "ath": 200}
     w = matching.Wording(counts, 4000, {}, {"music": ["music"], "musiksammlung": ["music"]})
