@@ -39,8 +39,12 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     answers to then. One shuffle on the identity, pre-aggregated.
     """
     texts = ["wikidata_id", "country", "locality", "description", "website", "street", "postcode", "wikipedia_url", "source_page"]
-    columns = [*texts[5:], "page_id", "updated_at", "id", "wikidata_id", "name", "normalized", "country", "locality", "description", "website", "aliases", "sources", "classes", "verified", "location", "sitelinks"]
-    both = existing.select(*columns, F.lit(0).alias("side")).unionByName(incoming.select(*columns, F.lit(1).alias("side")))
+    optional = [*texts[5:], "page_id", "updated_at"]
+    columns = [*optional, "id", "wikidata_id", "name", "normalized", "country", "locality", "description", "website", "aliases", "sources", "classes", "verified", "location", "sitelinks"]
+    kinds = {"page_id": "int", "updated_at": "timestamp"}
+    # the columns from street on may be absent on either side
+    part = lambda d, side: d.select(*(F.col(c) if c in d.columns or c not in optional else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in columns), F.lit(side).alias("side"))
+    both = part(existing, 0).unionByName(part(incoming, 1))
     both = both.withColumn("country", known_country(F.col("country"))).withColumn("identity", identity(F.col("wikidata_id"), F.col("normalized"), F.col("country"))).withColumn("ord", F.struct("side", "id"))
     spot = usable(F.col("location.lat"), F.col("location.lon"))
     out = both.filter("identity IS NOT NULL").groupBy("identity").agg(
