@@ -38,7 +38,7 @@ def test_survivors(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("merge_groups", "museums"):
+    for t in ("merge_groups", "museums", "places", "gazetteer"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = QUERIES[name](spark, DATA)
     cur = c.execute(SQL[name])
