@@ -91,20 +91,24 @@ def word_similarity(q: Column, t: Column) -> Column:
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left_key, right_key, sim) of rows (key, text) whose similarity is ``threshold`` or more.
 
-    Texts are reduced to distinct ones first. A pair of that similarity shares a trigram among the
-    (1 - threshold) rarest share of either set, so only those trigrams are joined; the size of the sets bounds the rest.
+    Texts are reduced to distinct ones first, trigrams to hashes in one order for all, rarest first. A pair of that
+    similarity shares a trigram among the (1 - threshold) rarest share of either set, so only those are joined. What is
+    behind the first one they share bounds what they can share at all: pairs that can't reach the similarity from there
+    fall out by their places and sizes, before their sets are compared.
     """
-    sets = lambda d: d.select("text").distinct().withColumn("g", trigrams(F.col("text"))).filter(F.size("g") > 0)
+    sets = lambda d: d.select("text").distinct().withColumn("g", F.transform(trigrams(F.col("text")), lambda t: F.xxhash64(t))).filter(F.size("g") > 0)
     a, b = sets(left), sets(right)
     df = a.select(F.explode("g").alias("t")).unionByName(b.select(F.explode("g").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
     def prefix(d: DataFrame, name: str) -> DataFrame:
-        ranked = d.select("text", "g", F.explode("g").alias("t")).join(df, "t").groupBy("text").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
-        keep = F.size("g") - F.ceil(F.size("g") * threshold).cast("int") + 1
-        return ranked.select(F.col("text").alias(f"{name}_text"), F.col("g").alias(f"{name}_g"), F.explode(F.slice("r", F.lit(1), keep)).alias("r")).select(f"{name}_text", f"{name}_g", F.col("r.t").alias("t"))
+        ranked = d.select("text", F.explode("g").alias("t")).join(df, "t").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
+        keep = F.size("r") - F.ceil(F.size("r") * threshold - 1e-9).cast("int") + 1
+        g = F.transform("r", lambda x: x.t)
+        return ranked.select(F.col("text").alias(f"{name}_text"), g.alias(f"{name}_g"), F.posexplode(F.slice("r", F.lit(1), keep)).alias(f"{name}_at", "r")).select(f"{name}_text", f"{name}_g", f"{name}_at", F.col("r.t").alias("t"))
 
     na, nb = F.size("a_g"), F.size("b_g")
-    met = prefix(a, "a").join(prefix(b, "b"), "t").filter((na * threshold <= nb) & (nb * threshold <= na))
+    behind = F.least(na - F.col("a_at"), nb - F.col("b_at"))
+    met = prefix(a, "a").join(prefix(b, "b"), "t").filter((na * threshold <= nb) & (nb * threshold <= na) & (behind + 1e-9 >= (na + nb) * (threshold / (1 + threshold))))
     met = met.withColumn("sim", similarity(F.col("a_g"), F.col("b_g"))).filter(F.col("sim") >= threshold).select("a_text", "b_text", "sim").distinct()
     return (
         left.select(F.col("key").alias("left_key"), F.col("text").alias("a_text"))
