@@ -90,19 +90,26 @@ def navigation_listings(exhibitions: DataFrame) -> DataFrame:
 def outliers(museums: DataFrame, least: int = 30) -> DataFrame:
     """Rows farther from their country's per-axis upper median than twice the lower-rank 99th percentile, 500 km at least.
 
-    Order statistics come from rank windows inside a country, so no list of a country's values is gathered.
+    Order statistics are exact and no country is sorted: rows are counted in bins, the bin that holds the rank is found
+    among the counts, and only the distinct values of that bin are ranked.
     """
     m = museums.select("id", known_country(F.col("country")).alias("country"), F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon")).filter(usable(F.col("lat"), F.col("lon")) & F.col("country").isNotNull())
-
-    def at_rank(rows: DataFrame, value: str, rank: Column) -> DataFrame:
-        w = Window.partitionBy("country")
-        ranked = rows.select("country", value, F.row_number().over(w.orderBy(value, "id")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-        return ranked.filter((F.col("rn") == rank + 1) & (F.col("n") >= least)).select("country", value)
+    whole = Window.partitionBy("country")
+
+    def at_rank(rows: DataFrame, value: str, rank: Column, width: float) -> DataFrame:
+        """(country, value) of the value at a rank (from 0, in terms of ``n``) of each country with ``least`` rows."""
+        binned = rows.select("country", value, F.floor(F.col(value) / width).alias("bin"))
+        bins = binned.groupBy("country", "bin").agg(F.count(F.lit(1)).alias("c"))
+        bins = bins.withColumns({"n": F.sum("c").over(whole), "before": F.sum("c").over(whole.orderBy("bin")) - F.col("c")})
+        held = bins.filter((F.col("n") >= least) & (rank >= F.col("before")) & (rank < F.col("before") + F.col("c"))).select("country", "bin", (rank - F.col("before")).alias("k"))
+        values = binned.join(held, ["country", "bin"]).groupBy("country", value, "k").agg(F.count(F.lit(1)).alias("c"))
+        values = values.withColumn("before", F.sum("c").over(whole.orderBy(value)) - F.col("c"))
+        return values.filter((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("c"))).select("country", value)
 
     half = F.floor(F.col("n") / 2)
-    mid = at_rank(m, "lat", half).withColumnRenamed("lat", "mlat").join(at_rank(m, "lon", half).withColumnRenamed("lon", "mlon"), "country")
+    mid = at_rank(m, "lat", half, 0.01).withColumnRenamed("lat", "mlat").join(at_rank(m, "lon", half, 0.01).withColumnRenamed("lon", "mlon"), "country")
     d = m.join(mid, "country").withColumn("d", haversine_km(F.col("lat"), F.col("lon"), F.col("mlat"), F.col("mlon")))
-    p = at_rank(d.select("id", "country", "d"), "d", F.floor((F.col("n") - 1) * 0.99)).withColumnRenamed("d", "p99")
+    p = at_rank(d.select("id", "country", "d"), "d", F.floor((F.col("n") - 1) * 0.99), 1.0).withColumnRenamed("d", "p99")
     out = d.join(p, "country").filter(F.col("d") > F.greatest(F.col("p99") * 2, F.lit(500.0)))
     return out.select(F.lit("coordinates-far-from-country").alias("check"), F.lit("warning").alias("severity"), F.col("id").cast("string").alias("subject"))
 
