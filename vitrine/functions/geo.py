@@ -39,6 +39,22 @@ def within_km(df: DataFrame, lat: float, lon: float, km: float, lat_col: str = "
     )
 
 
+def reach_in_degrees(lat: Column, km: float) -> Column:
+    """Degrees of longitude that a circle of ``km`` around a latitude reaches at most on either side."""
+    widest = F.cos(F.radians(F.least(F.abs(lat) + km / 111.0, F.lit(90.0))))
+    return F.least(F.lit(180.0), F.lit(km / 111.0) / F.greatest(widest, F.lit(1e-6)))
+
+
+def columns_around(lon: Column, wide: Column, size: float) -> Column:
+    """Grid columns of ``size`` degrees that ``wide`` degrees around a longitude reach, over the 180th meridian too."""
+    column = lambda c: F.floor((c + 180.0) / size)
+    west, east, turn = lon - wide, lon + wide, F.lit(int(360 / size) + 1).cast("bigint")
+    span = lambda w, e: F.struct(w.alias("w"), e.alias("e"))
+    spans = F.array_compact(F.array(span(F.greatest(west, F.lit(-180.0)), F.least(east, F.lit(180.0))), F.when(west < -180, span(west + 360, F.lit(180.0))), F.when(east > 180, span(F.lit(-180.0), east - 360))))
+    zero = F.lit(0).cast("bigint")
+    return F.array_distinct(F.flatten(F.transform(spans, lambda p: F.sequence(F.greatest(column(p.w), zero), F.least(column(p.e), turn)))))
+
+
 def cell_label(lat: Column, lon: Column, size: float = 0.25) -> Column:
     """Grid-cell label, the centre rounded half away from zero, two decimals."""
     r = lambda c: F.round(c / size) * size + F.lit(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.geo import haversine_km, usable
+from vitrine.functions.geo import columns_around, haversine_km, reach_in_degrees, usable
 from vitrine.functions.text import compact_key, filled, fold, identity, known_country
 from vitrine.session import cut
 
@@ -108,16 +108,17 @@ def alias_merges(museums: DataFrame) -> DataFrame:
 def name_variant_merges(museums: DataFrame) -> DataFrame:
     """(victim, keeper): rows with the same two or more long words at most 150 m apart; the better known one keeps.
 
-    Positions are cut into cells of 0.002 degrees of latitude; a row meets its own and the neighbouring cells.
+    Positions are cut into cells of 0.002 degrees of latitude and 0.01 of longitude; a row looks into the cells that 150 m reach.
     """
     long_words = F.array_sort(F.filter(F.split("normalized", " "), lambda w: F.length(w) > 2))
     m = museums.select("id", "country", "sitelinks", "location.lat", "location.lon", long_words.alias("w")).filter(usable(F.col("lat"), F.col("lon")) & (F.size("w") >= 2))
     m = m.select("id", F.coalesce("sitelinks", F.lit(0)).alias("s"), "lat", "lon", F.array_join("w", " ").alias("w"), F.floor(F.col("lat") / 0.002).alias("band"))
     a = m.select(F.col("id").alias("ia"), F.col("s").alias("sa"), F.col("lat").alias("la"), F.col("lon").alias("oa"), "w", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    b = m.select(F.col("id").alias("ib"), F.col("s").alias("sb"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), "w", "band")
+    a = a.withColumn("x", F.explode(columns_around(F.col("oa"), reach_in_degrees(F.col("la"), 0.15), 0.01)))
+    b = m.select(F.col("id").alias("ib"), F.col("s").alias("sb"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), "w", "band", F.floor((F.col("lon") + 180.0) / 0.01).alias("x"))
     first = F.struct(F.col("sa").alias("s"), (-F.col("ia")).alias("i")) > F.struct(F.col("sb").alias("s"), (-F.col("ib")).alias("i"))
     near = haversine_km(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")) <= 0.15
-    return _no_chains(a.join(b, ["w", "band"]).filter(first & near).select(F.col("ib").alias("victim"), F.col("ia").alias("keeper")))
+    return _no_chains(a.join(b, ["w", "band", "x"]).filter(first & near).select(F.col("ib").alias("victim"), F.col("ia").alias("keeper")))
 
 
 def exhibition_merges(exhibitions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.fuzzy import both_similarities, similar_pairs, similarity, trigrams
-from vitrine.functions.geo import haversine_km, usable, within_km
+from vitrine.functions.geo import columns_around, haversine_km, reach_in_degrees, usable, within_km
 from vitrine.functions.text import filled, fold
 
 
@@ -42,16 +42,10 @@ def nearby_many(museums: DataFrame, points: DataFrame, km: float) -> DataFrame:
     """
     size = max(0.01, km / 111.0)
     row = lambda c: F.floor(F.col(c) / size)
-    turn = int(360 / size) + 1
-    column = lambda c: F.floor((c + 180.0) / size)
-    wide = F.least(F.lit(180.0), F.lit(km / 111.0) / F.greatest(F.cos(F.radians(F.least(F.abs("qlat") + km / 111.0, F.lit(90.0)))), F.lit(1e-6)))
     q = points.filter(usable(F.col("lat"), F.col("lon"))).select("key", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
     q = q.withColumn("y", F.explode(F.sequence(row("qlat") - 1, row("qlat") + 1)))
-    west, east = F.col("qlon") - wide, F.col("qlon") + wide
-    # a circle over the meridian looks at both its ends
-    spans = F.array_compact(F.array(F.struct(F.greatest(west, F.lit(-180.0)).alias("w"), F.least(east, F.lit(180.0)).alias("e")), F.when(west < -180, F.struct((west + 360).alias("w"), F.lit(180.0).alias("e"))), F.when(east > 180, F.struct(F.lit(-180.0).alias("w"), (east - 360).alias("e")))))
-    q = q.withColumn("x", F.explode(F.array_distinct(F.flatten(F.transform(spans, lambda p: F.sequence(F.greatest(column(p.w), F.lit(0)), F.least(column(p.e), F.lit(turn))))))))
-    m = placed(museums).select("id", "lat", "lon", row("lat").alias("y"), column(F.col("lon")).alias("x"))
+    q = q.withColumn("x", F.explode(columns_around(F.col("qlon"), reach_in_degrees(F.col("qlat"), km), size)))
+    m = placed(museums).select("id", "lat", "lon", row("lat").alias("y"), F.floor((F.col("lon") + 180.0) / size).alias("x"))
     d = haversine_km(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
     return q.join(m, ["y", "x"]).withColumn("distance_km", d).filter(F.col("distance_km") <= km).select("key", "id", "distance_km")
 
