@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import geo, html, rules, text, wikitext
 from vitrine.operators import lookup, quality, resolve, schedule, search, state, wiki
 from vitrine.sources import readers, sinks
+from vitrine.sources.paged import PagedSource
 
 NOW = datetime(2026, 6, 1)
 
@@ -230,3 +231,15 @@ def test_a_catalogue_is_loaded_and_merged(spark):
 def test_articles_become_venues_once(spark):
     p = spark.createDataFrame([("A museum", 2, None, "museum in Ath", False, 1.0, 2.0), ("A museum", 1, "Q1", "museum in Ath", False, 1.0, 2.0), ("B", 3, None, "a painter", False, None, None), ("C museum", 4, None, "museum", True, None, None)], "title string, page_id bigint, wikidata_id string, description string, is_disambiguation boolean, lat double, lon double")
     assert [(r.title, r.page_id) for r in wiki.article_venues(p).collect()] == [("A museum", 1)]
+
+
+def test_pages_are_cut_and_the_rest_has_no_country(spark, tmp_path):
+    spark.dataSource.register(PagedSource)
+    (tmp_path / "a.json").write_text(json.dumps({"items": [{"i": k} for k in range(7)]}))
+    (tmp_path / "b.json").write_text("{broken")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        df = spark.read.format("pages").schema("i int").option("limit", 3).load(root)
+        assert sorted(r.i for r in df.collect()) == list(range(7)) and df.rdd.getNumPartitions() >= 3
+    assert spark.read.format("pages").schema("i int").load(str(tmp_path)).count() == 7
+    by, every = spark.createDataFrame([("Q1", "France")], "item string, country string"), spark.createDataFrame([("Q1",), ("Q2",), ("Q2",)], "item string")
+    assert {tuple(r) for r in wiki.with_remainder(by, every).collect()} == {("Q1", "France"), ("Q2", None)}

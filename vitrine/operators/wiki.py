@@ -77,6 +77,12 @@ def country_counts(answers: DataFrame, labels: DataFrame) -> DataFrame:
     return n.join(labels.groupBy("country").agg(F.min("label").alias("label")), "country", "left").withColumn("label", F.coalesce("label", "country"))
 
 
+def with_remainder(by_country: DataFrame, everything: DataFrame) -> DataFrame:
+    """(item, country): items of the queries country by country, and those that no country's query gave, without one."""
+    rest = everything.select("item").distinct().join(by_country.select("item"), "item", "left_anti")
+    return by_country.select("item", "country").distinct().unionByName(rest.select("item", F.lit(None).cast("string").alias("country")))
+
+
 def class_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(item, classes): labels of each item's classes, distinct, in the order first seen; ids without a label are left out.
 

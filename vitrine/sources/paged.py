@@ -3,42 +3,53 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 
+from pyarrow.fs import FileSelector, FileSystem, LocalFileSystem
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, offset: int, limit: int | None):
+        self.path, self.offset, self.limit = path, offset, limit
+
+
+def _files(uri: str) -> tuple[FileSystem, str]:
+    """File system and path of a folder's address: any that pyarrow knows (hdfs, s3, file ...), or a mounted path."""
+    return FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (LocalFileSystem(), uri)
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, schema, options: dict):
         self.names, self.options = [f.name for f in schema.fields], options
 
+    def _rows(self, fs: FileSystem, path: str) -> list[dict]:
+        try:
+            with fs.open_input_stream(path) as f:
+                return json.loads(f.read()).get(self.options.get("field", "items"), [])
+        except (ValueError, AttributeError):
+            return []  # an unreadable page is skipped, the rest kept
+
     def partitions(self) -> list[Page]:
-        """One partition a stored page, so pages are read side by side."""
-        root = self.options["path"]
-        return [Page(os.path.join(root, f)) for f in sorted(os.listdir(root)) if f.endswith(".json")]
+        """One partition a stored page, or a stretch of ``limit`` rows of one, so pages are read side by side."""
+        fs, root = _files(self.options["path"])
+        paths = sorted(f.path for f in fs.get_file_info(FileSelector(root)) if f.path.endswith(".json"))
+        limit = int(self.options.get("limit", 0)) or None
+        return [Page(p, at, limit) for p in paths for at in (range(0, max(1, len(self._rows(fs, p))), limit) if limit else (0,))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        try:
-            with open(partition.path, encoding="utf-8") as f:
-                rows = json.load(f).get(self.options.get("field", "items"), [])
-        except (ValueError, AttributeError):
-            return  # an unreadable page is skipped, the rest kept
-        for r in rows:
+        rows = self._rows(_files(self.options["path"])[0], partition.path)
+        for r in rows[partition.offset : partition.offset + partition.limit if partition.limit else None]:
             yield tuple(r.get(n) for n in self.names)
 
 
 class PagedSource(DataSource):
     """``spark.dataSource.register(PagedSource)``, then ``spark.read.format("pages").schema(...).load(folder)``.
 
-    The folder must be in reach of all executors. Each file is one answer: an object with a list under ``field``.
+    The folder must be in reach of all executors. Each file is one answer: an object with a list under ``field``;
+    ``limit`` cuts long answers into pages of so many rows.
     """
 
     @classmethod
