@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import time
 from datetime import datetime
 
 import duckdb
@@ -167,7 +168,7 @@ def test_matching_held_out_accuracy_and_edges(spark):
     got = {(r.museum_id, r.record_id) for r in matching.p5_found(m, s, gazetteer(spark)).collect()}
     assert len(got & truth) / len(truth) >= 0.9 and len(got & truth) / len(got) >= 0.95
     assert len({r for _, r in got}) == len(got)
-    odd = s.limit(0).union(spark.createDataFrame([(1, None, None, [], None, None, None, None, None, None), (2, None, "", [], "", "", None, "", {}, ""), (None, None, "x", [], None, None, None, None, None, None)], s.schema))
+    odd = s.limit(0).union(spark.createDataFrame([(1, None, None, [], None, None, None, None, None, None), (2, None, "", [], "", "", None, "", {}, ""), (3, None, "w" * 30_000, ["x " * 9_000], "", "", None, "", {}, ""), (None, None, "x", [], None, None, None, None, None, None)], s.schema))
     assert matching.p5_found(m, odd, gazetteer(spark)).count() == 0
     assert matching.p5_found(m.limit(0), s.limit(0), gazetteer(spark)).count() == 0
 
@@ -246,6 +247,17 @@ def test_variants_without_a_key_word_meet_in_their_place(spark):
     assert {g[1:] for g in got if g[0] == "query"} == {(1, 1)}
 
 
+def test_two_errors_told_near_the_diagonal_alone():
+    rnd = random.Random(8)
+    for _ in range(3000):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9)))
+        b = mistype(rnd, mistype(rnd, a)) if len(a) > 4 and rnd.random() < 0.6 else "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9)))
+        assert variants._within_two(a, b) == (levenshtein(a, b) <= 2), (a, b)
+    began = time.time()
+    assert variants._within_two("ab" * 20_000, "ab" * 10_000 + "x" + "ab" * 10_000) and matching.Wording({"museum": 90}, 100, {}, {}).usual("w" * 50_000) == "w" * 50_000
+    assert time.time() - began < 5
+
+
 def test_swapped_neighbours_are_one_error(spark):
     got = {tuple(r) for r in variants.close_words(spark.createDataFrame([(w,) for w in ("museum", "musuem", "umsuem", "salon", "saoln", "town", "twon")], "token string")).collect()}
     assert {g for g in got if g[2] == 1} == {("museum", "musuem", 1), ("musuem", "umsuem", 1), ("salon", "saoln", 1)}
