@@ -99,3 +99,10 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "j" / "b.json").write_text("{nope")
     j = readers.json_objects(spark, str(tmp_path / "j"), "x int").cache()
     assert j.count() == 2 and j.filter("_corrupt_record IS NOT NULL").count() == 1
+
+
+def test_ids_are_promoted_once(spark):
+    schema = "id bigint, wikidata_id string, normalized string, country string"
+    old = spark.createDataFrame([(1, None, "a", "Spain"), (2, "", "a", "Spain"), (3, "Q9", "b", "Spain"), (4, None, "c", "Spain"), (5, None, "", "Spain"), (6, None, "d", None)], schema)
+    new = spark.createDataFrame([(10, "Q1", "a", "Spain"), (11, "Q2", "a", "Spain"), (12, "Q9", "c", "Spain"), (13, "Q3", "", "Spain"), (14, "Q4", "a", "France"), (15, None, "a", "Spain"), (16, "Q5", "d", None)], schema)
+    assert [tuple(r) for r in resolve.promote_ids(old, new).collect()] == [(1, "Q1")]  # Q9 is held already
