@@ -7,6 +7,7 @@ from datetime import datetime
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine.llm import canonical, matching, survivorship, variants
 from vitrine.llm.queries import QUERIES, SQL
@@ -247,6 +248,28 @@ def test_variants_without_a_key_word_meet_in_their_place(spark):
     assert {g[1:] for g in got if g[0] == "query"} == {(1, 1)}
 
 
+def test_names_without_a_key_word_miss_no_similar_name_in_reach(spark):
+    filler = [dict(id=100 + i, name=f"{a}{b}o Town Museum", locality="Ghent") for i, (a, b) in enumerate((x, y) for x in ("Bakiru", "Dolenu", "Gosami", "Kutofi", "Metiva", "Pifulo") for y in ("bezan", "dorik", "gulem", "kifas", "mopit"))]
+    m = museums(
+        spark, dict(id=1, name="Town Museum", locality="Ath"), dict(id=2, name="Twn Musm", locality="Ath"), dict(id=3, name="Town Museum", location=(50.0049, 5.0)), dict(id=4, name="Museum, Town", location=(50.0051, 5.0)),
+        dict(id=5, name="Town Museum", location=(20.0, 179.99)), dict(id=6, name="Museum Town", location=(20.0, -179.99)), dict(id=7, name="Museum Town", location=(20.0, -179.9)), dict(id=8, name="Town Museum", location=(85.0, 10.45)), *filler,
+    )
+    p = spark.createDataFrame([(1, "museum town", None, (85.0, 10.0)), (2, "museum town", None, (85.0, 9.9))], "place_id bigint, query string, display_name string, location struct<lat: double, lon: double>")
+    got = {tuple(r) for r in variants.p4_found(m, p).collect()}
+    assert got == {("rows", 1, 2), ("rows", 3, 4), ("rows", 5, 6), ("query", 8, 1)}
+    rnd = random.Random(4)
+    usual = ["town", "museum", "gallery", "music", "modern", "mosaic", "musical", "of", "glass", "graz"]
+    short = ["m", "mus", "twn", "gly", "gl", "mod", "o", "msc"]
+    lists = sorted({" ".join(mistype(rnd, w) if len(w) > 4 and rnd.random() < 0.2 else w for w in rnd.choices(usual + short, k=rnd.randint(1, 4))) for _ in range(250)} | {f"{''.join(rnd.choices('bdgklmaeiou', k=7))} {rnd.choice(usual)}" for _ in range(40)})
+    n = variants.Names(None, spark.createDataFrame([*((k, 1) for k in lists), *((w, 400) for w in usual)], "nk string, n bigint"), spark.createDataFrame([], "token string, df bigint"), spark.createDataFrame([], "id bigint, own string, other string"))
+    every, none = spark.createDataFrame([(k, "t") for k in lists], "nk string, at string"), spark.createDataFrame([], "nk string, at string")
+    plain = n.shaped.filter("NOT keyed").select("nk")
+    a, b = every.select(every.nk.alias("a")), every.select(every.nk.alias("b"))
+    pairs = a.join(b, a.a < b.b).join(plain.withColumnRenamed("nk", "p"), F.expr("p = a OR p = b"), "left_semi")
+    want = {(r.a, r.b) for r in n.scored(pairs).filter("level > 0").collect()}
+    assert len(want) > 500 and want <= {tuple(r) for r in n.keyless_candidates((every, every), (none, none)).collect()}
+
+
 def test_two_errors_told_near_the_diagonal_alone():
     rnd = random.Random(8)
     for _ in range(3000):
