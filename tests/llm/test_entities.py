@@ -236,6 +236,33 @@ def test_counts_are_those_of_all_records_not_of_the_sample(spark, monkeypatch):
     assert counts["of"] == sum(" of " in r.name for r in rows) and all(n >= variants.KEY_MENTIONS for n in counts.values())
 
 
+def test_walks_and_confidence_are_fitted_on_all_records(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FIT_RECORDS", 10)
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    rows = [([" ".join(rnd.choices(words, k=rnd.randint(1, 4))) for _ in range(rnd.randint(0, 3))], rnd.choice([None, "w3.example"]), rnd.choices(words, k=rnd.randint(0, 2))) for _ in range(400)]
+    index = {w: i for i, w in enumerate(words[:9])}
+    want = np.zeros((9, 9))
+    for nks, host, tw in rows:
+        p, own = np.zeros(9), [x for x in (*(n.split() for n in nks), ["w3"] if host else [], tw) if x]
+        for ws in own:
+            for w in ws:
+                if w in index:
+                    p[index[w]] += 1 / len(own) / len(ws)
+        want += np.outer(p, p)
+    got = matching.walk_steps(spark.createDataFrame(rows, "nks array<string>, host string, tw array<string>").repartition(3), index)
+    assert np.allclose(want[got.column("w").to_numpy(), got.column("v").to_numpy()], got.column("n").to_numpy()) and got.num_rows == (np.triu(want) > 0).sum()
+    # 6,000 pairs of which the last thousand alone tell that a shared site means little
+    r = np.random.default_rng(3)
+    x, y = r.random((6000, 10)), np.arange(6000) % 2 == 0
+    x[:, 0] += y
+    x[5000:, 7] = ~y[5000:]
+    w = matching.fit_confidence(spark.createDataFrame([(*map(float, a), bool(b)) for a, b in zip(x, y)], ", ".join(f"{f} double" for f in matching.FEATURES) + ", label boolean").repartition(3))
+    a, prior = np.column_stack([x, np.ones(6000)]), np.array([2.0, 4.0, 2.5, -3.5, 1.5, -1.0, -1.5, 2.0, 2.0, -2.5, -3.0])
+    slope = a.T @ ((1 / (1 + np.exp(-a @ w)) - y) * 0.5 / 3000) + 2e-3 * (w - prior)
+    assert np.abs(slope).max() < 1e-6
+
+
 def test_variants_without_a_key_word_meet_in_their_place(spark):
     filler = [dict(id=100 + i, name=f"{a}{b}o Town Museum", locality="Ghent") for i, (a, b) in enumerate((x, y) for x in ("Bakiru", "Dolenu", "Gosami", "Kutofi", "Metiva", "Pifulo") for y in ("bezan", "dorik", "gulem", "kifas", "mopit"))]
     m = museums(
