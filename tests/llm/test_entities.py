@@ -263,6 +263,24 @@ def test_walks_and_confidence_are_fitted_on_all_records(spark, monkeypatch):
     assert np.abs(slope).max() < 1e-6
 
 
+def test_blocks_of_a_table_are_gone_when_it_is_done(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and f.endswith(".data")}
+    before = files()
+    v = matching._pack(np.random.default_rng(6).normal(size=(4000, matching.DIM)).astype(np.float32))
+    names = spark.createDataFrame([(i, i % 2 == 0, i % 2 == 1, r.tobytes()) for i, r in enumerate(v)], "h bigint, in_m boolean, in_s boolean, vec binary")
+    got = matching.candidate_pairs(names, 4000, 0.3)
+    assert got.count() > 0
+    # with the shuffle of the pairs themselves
+    most = (matching.TABLES - 1) * 4000 * (9 + matching.DIM // 2)
+    for _ in range(40):
+        left = sum(os.path.getsize(f) for f in files() - before if os.path.exists(f))
+        if left < most:
+            break
+        time.sleep(0.5)
+    assert left < most
+
+
 def test_variants_without_a_key_word_meet_in_their_place(spark):
     filler = [dict(id=100 + i, name=f"{a}{b}o Town Museum", locality="Ghent") for i, (a, b) in enumerate((x, y) for x in ("Bakiru", "Dolenu", "Gosami", "Kutofi", "Metiva", "Pifulo") for y in ("bezan", "dorik", "gulem", "kifas", "mopit"))]
     m = museums(
