@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.functions.text import fold
 from vitrine.llm import canonical, matching, survivorship, variants
 from vitrine.llm.queries import QUERIES, SQL
+from vitrine.session import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 T = lambda d: datetime(2026, 1, d)
@@ -281,6 +283,29 @@ def test_blocks_of_a_table_are_gone_when_it_is_done(spark):
     assert left < most
 
 
+def test_matching_lets_its_tables_go_and_takes_names_apart_alike(spark):
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    m, s, _ = _catalogue(spark, 120)
+    found = matching.p5_found(m, s, gazetteer(spark))
+    # the weighed pairs and those with labels
+    assert len({x for x in os.listdir(folder) if x.startswith("kept-")} - before) <= 2 and found.count() > 0
+    rnd = random.Random(2)
+    # the sums of groups, and the typings that eight letters and more leave to be looked up
+    table, size = np.random.default_rng(1).normal(size=(50, 6)).astype(np.float32), np.array([3, 1, 7, 7, 2])
+    rows, first = np.random.default_rng(2).integers(0, 50, 20), np.cumsum(size) - size
+    assert np.allclose(matching._sums(table, rows, first, size), np.add.reduceat(table[rows], first, axis=0), atol=1e-5)
+    usual = ["museum", "gallery", "collection", "musiksammlung", "sammlung", "railways", "townhall"]
+    w = matching.Wording({u: 900 - i for i, u in enumerate(usual)}, 1000, {}, {})
+    for _ in range(2000):
+        word = mistype(rnd, mistype(rnd, rnd.choice(usual)))
+        assert w.usual("kiheiroudaisen") and {d for d in matching._deletions(word, 1) if d in w.typings} <= {*w._shorter(word)}
+    # texts of plain letters take a shorter way to the same end
+    texts = ["Saint-Étienne", "  St. Ives (UK) ", "42 Main\nSt.", "", None, "Łódź", "A_B", "\tx", "É", "İzmir", "x\n", "99 Ünder", "!?"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(matching._folded(F.col("t")).alias("a"), fold(F.col("t")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+
+
 def test_variants_without_a_key_word_meet_in_their_place(spark):
     filler = [dict(id=100 + i, name=f"{a}{b}o Town Museum", locality="Ghent") for i, (a, b) in enumerate((x, y) for x in ("Bakiru", "Dolenu", "Gosami", "Kutofi", "Metiva", "Pifulo") for y in ("bezan", "dorik", "gulem", "kifas", "mopit"))]
     m = museums(
