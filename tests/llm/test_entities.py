@@ -351,6 +351,16 @@ def test_two_errors_told_near_the_diagonal_alone():
     assert time.time() - began < 5
 
 
+def test_words_of_two_names_are_taken_apart_once(monkeypatch):
+    calls, own = [], variants.bigrams
+    monkeypatch.setattr(variants, "bigrams", lambda w: calls.append(w) or own(w))
+    key = lambda *ws: [(w, 1.0, True) for w in ws]
+    assert variants.soft_similarity(key("bakirube", "dolenuto", "gosamika"), key("metivalo", "pifuloze", "bakiruba"))[1] == 0
+    assert len(calls) <= 6
+    assert variants.soft_similarity(key("bakirubezan"), key("bakirubezon"))[1] == 3 and variants.soft_similarity(key("museum"), key("zzglass")) == (0.0, 0)
+    assert variants.soft_similarity([("", 1.0, False)], [("town", 1.0, False)]) == (0.6, 3)
+
+
 def test_swapped_neighbours_are_one_error(spark):
     got = {tuple(r) for r in variants.close_words(spark.createDataFrame([(w,) for w in ("museum", "musuem", "umsuem", "salon", "saoln", "town", "twon")], "token string")).collect()}
     assert {g for g in got if g[2] == 1} == {("museum", "musuem", 1), ("musuem", "umsuem", 1), ("salon", "saoln", 1)}
