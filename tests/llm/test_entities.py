@@ -340,6 +340,18 @@ def test_names_without_a_key_word_miss_no_similar_name_in_reach(spark):
     assert len(want) > 500 and want <= {tuple(r) for r in n.keyless_candidates((every, every), (none, none)).collect()}
 
 
+def test_variants_take_few_plans(spark, monkeypatch):
+    filler = [dict(id=100 + i, name=f"{a}{b}o Town Museum", locality="Ghent", location=(50.0, 5.0)) for i, (a, b) in enumerate((x, y) for x in ("Bakiru", "Dolenu", "Gosami") for y in ("bezan", "dorik", "gulem"))]
+    m = museums(spark, dict(id=1, name="Town Museum", locality="Ath", location=(50.0, 5.0)), dict(id=2, name="Museum, Town", locality="Ath"), *filler)
+    p = spark.createDataFrame([(1, "museum town", None, (50.02, 5.0))], "place_id bigint, query string, display_name string, location struct<lat: double, lon: double>")
+    steps, own = [], variants.cut
+    monkeypatch.setattr(variants, "cut", lambda d: steps.append(d) or own(d))
+    found = variants.p4_found(m, p)
+    # what the driver holds follows the steps: each kind of place had three of its own
+    assert len(steps) <= 24
+    assert {tuple(r) for r in found.collect()} >= {("rows", 1, 2), ("query", 1, 1)}
+
+
 def test_two_errors_told_near_the_diagonal_alone():
     rnd = random.Random(8)
     for _ in range(3000):
