@@ -376,3 +376,11 @@ def test_words_of_two_names_are_taken_apart_once(monkeypatch):
 def test_swapped_neighbours_are_one_error(spark):
     got = {tuple(r) for r in variants.close_words(spark.createDataFrame([(w,) for w in ("museum", "musuem", "umsuem", "salon", "saoln", "town", "twon")], "token string")).collect()}
     assert {g for g in got if g[2] == 1} == {("museum", "musuem", 1), ("musuem", "umsuem", 1), ("salon", "saoln", 1)}
+
+
+def test_shared_hosts_are_told_before_pairs_have_both_profiles(spark, monkeypatch):
+    plans, own = [], matching.evidence
+    monkeypatch.setattr(matching, "evidence", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or own(d))
+    m, s, _ = _catalogue(spark, 40)
+    matching.match_records(m, s, gazetteer(spark))
+    assert "LeftOuter" not in next(x for x in plans[0].split("\n") if "Join" in x)
