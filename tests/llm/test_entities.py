@@ -384,3 +384,15 @@ def test_shared_hosts_are_told_before_pairs_have_both_profiles(spark, monkeypatc
     m, s, _ = _catalogue(spark, 40)
     matching.match_records(m, s, gazetteer(spark))
     assert "LeftOuter" not in next(x for x in plans[0].split("\n") if "Join" in x)
+
+
+def test_vectors_go_before_words_are_compared_and_profiles_travel_without_subjects(spark, monkeypatch):
+    folder, had, plans, compared, evidence = shared_dir(spark).removeprefix("file://"), [], [], matching.compared, matching.evidence
+    before = set(os.listdir(folder))
+    vectors = lambda: [x for x in set(os.listdir(folder)) - before if x.startswith("kept-") and "vec" in spark.read.parquet(f"{folder}/{x}").columns]
+    monkeypatch.setattr(matching, "compared", lambda *a: had.extend(vectors()) or compared(*a))
+    monkeypatch.setattr(matching, "evidence", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or evidence(d))
+    m, s, _ = _catalogue(spark, 40)
+    matching.match_records(m, s, gazetteer(spark))
+    assert not had
+    assert "subject" not in plans[0]
