@@ -1,5 +1,7 @@
 from datetime import date
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import dates, fuzzy, html, wikitext
@@ -50,6 +52,21 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+def test_close_sets_equal_brute_force(threshold):
+    rng = np.random.default_rng(1)
+    some = lambda n, of: [set(rng.choice(of, rng.integers(1, min(of, 12) + 1), replace=False).tolist()) for _ in range(n)]
+    flat = lambda s: (np.array([x * 7919 for r in s for x in r]), np.array([len(r) for r in s]))
+    for n, of in ((1, 3), (40, 9), (300, 30)):
+        a, b = some(n, of), some(2 * n, of)
+        every = [[(j, len(p & q) / len(p | q)) for j, q in enumerate(b)] for p in a]
+        for best in (None, 2):
+            least = [max(threshold, sorted((s for _, s in r), reverse=True)[best - 1] if best else 0) for r in every]
+            want = {(i, j): s for i, r in enumerate(every) for j, s in r if s >= least[i]}
+            x, y, sim = fuzzy._close_sets(*flat(a), *flat(b), threshold, best)
+            assert len(x) == len(want) and dict(zip(zip(x.tolist(), y.tolist()), sim.tolist())) == want
+
+
 def test_geo(spark):
     assert abs(one(spark, haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) - 20015.086796) < 1e-3
     assert one(spark, haversine_km(F.col("a"), F.lit(0.0), F.lit(0.0), F.lit(1.0)), a=None) is None

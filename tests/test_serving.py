@@ -1,10 +1,11 @@
 import json
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.functions import geo, html, rules, text, wikitext
+from vitrine.functions import fuzzy, geo, html, rules, text, wikitext
 from vitrine.operators import lookup, quality, resolve, schedule, search, state, wiki
 from vitrine.sources import readers, sinks
 from vitrine.sources.paged import PagedSource
@@ -243,3 +244,24 @@ def test_pages_are_cut_and_the_rest_has_no_country(spark, tmp_path):
     assert spark.read.format("pages").schema("i int").load(str(tmp_path)).count() == 7
     by, every = spark.createDataFrame([("Q1", "France")], "item string, country string"), spark.createDataFrame([("Q1",), ("Q2",), ("Q2",)], "item string")
     assert {tuple(r) for r in wiki.with_remainder(by, every).collect()} == {("Q1", "France"), ("Q2", None)}
+
+
+def test_search_many_equals_brute_force_and_broadcasts_nothing(spark, monkeypatch):
+    # what many rows share must not multiply, nor a table that looks small to the planner go to the driver
+    rng = random.Random(3)
+    words = ["museum", "glass", "salt", "toys", "mill", "old", "town", "harbour", "north", "art", "a"]
+    spelt = lambda: " ".join(rng.choice(words) + rng.choice(["", "", "s", "x"]) for _ in range(rng.randint(1, 4)))
+    names = [(i, spelt() if i % 3 else "Town Museum") for i in range(90)] + [(90, None), (91, " "), (92, "!")]
+    asked = [(i % 55, spelt() if i % 4 else "town museum") for i in range(60)] + [(60, None), (61, "?"), (62, "zzz")]
+    grams = lambda t: set(fuzzy._listed(t or ""))
+    sims = [(k, len(g & h) / len(g | h), i) for k, q in asked for i, n in names if (g := grams(q)) & (h := grams(n))]
+    want = {}
+    for k, sim, i in sorted((x for x in sims if x[1] >= 0.4), key=lambda x: (x[0], -x[1], x[2])):
+        want.setdefault(k, []).append((i, round(sim, 9)))
+    want = sorted((k, n + 1, *x) for k, found in want.items() for n, x in enumerate(found[:3]))
+    m, q = spark.createDataFrame(names, "id bigint, name string"), spark.createDataFrame(asked, "key bigint, text string")
+    for share in (100_000, 7):
+        monkeypatch.setattr(fuzzy, "SHARE", share, raising=False)
+        got = search.search_many(m, q, 0.4, 3)
+        assert sorted((r.key, r.rank, r.id, round(r.sim, 9)) for r in got.collect()) == want
+        assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.fuzzy import both_similarities, similar_pairs, similarity, trigrams
+from vitrine.functions.fuzzy import both_similarities, similar_texts, similarity, trigrams
 from vitrine.functions.geo import columns_around, haversine_km, reach_in_degrees, usable, within_km
 from vitrine.functions.text import filled, fold
 
@@ -51,11 +51,22 @@ def nearby_many(museums: DataFrame, points: DataFrame, km: float) -> DataFrame:
 
 
 def search_many(museums: DataFrame, queries: DataFrame, least: float = 0.5, best: int = 5) -> DataFrame:
-    """(key, rank, id, sim): the most similar names for each of many queries (key, text), by one join over shared trigrams."""
-    names = museums.select(F.col("id").alias("key"), fold(F.col("name")).alias("text")).filter("text <> ''")
-    met = similar_pairs(queries.select("key", fold(F.col("text")).alias("text")).filter("text <> ''"), names, least)
-    rank = F.row_number().over(Window.partitionBy("left_key").orderBy(F.desc("sim"), "right_key"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= best).select(F.col("left_key").alias("key"), "rank", F.col("right_key").alias("id"), "sim")
+    """(key, rank, id, sim): the most similar names for each of many queries (key, text), by one join over shared trigrams.
+
+    Rows of one name are alike to a text, so a text takes the first few ids of each name, and only its best go to the
+    queries: neither names nor texts that many rows share multiply.
+    """
+    names = museums.select("id", fold(F.col("name")).alias("text")).filter("text <> ''")
+    asked = queries.select("key", fold(F.col("text")).alias("text")).filter("text <> ''")
+
+    def first(d: DataFrame, of: str, order: list) -> DataFrame:
+        return d.withColumn("rank", F.row_number().over(Window.partitionBy(of).orderBy(*order))).filter(F.col("rank") <= best)
+
+    ids = first(names, "text", ["id"]).select(F.col("text").alias("b_text"), "id")
+    # the planner takes few columns of a compressed table for less than they are: neither table is broadcast
+    met = similar_texts(asked, names, least, best).hint("merge").join(ids, "b_text")
+    top = first(met, "a_text", [F.desc("sim"), "id"]).select(F.col("a_text").alias("text"), "id", "sim")
+    return first(asked.hint("merge").join(top, "text"), "key", [F.desc("sim"), "id"]).select("key", "rank", "id", "sim")
 
 
 def in_box(museums: DataFrame, south: float, west: float, north: float, east: float, limit: int = 40_000) -> DataFrame:
